@@ -165,13 +165,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> tuple[DataFram
     return docs.withColumn("ids_text", encoder.ids_text(F.col("text"))), encoder
 
 
-def digests(encoded: DataFrame, encoder: Encoder) -> DataFrame:
-    ids = F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ", -1).cast("array<int>"))
-    return encoded.select(
+def digests(encoded: DataFrame, encoder: Encoder, *more: str | Column) -> DataFrame:
+    """doc_id, number and digest of the ids, digest of the decoded bytes; ``more`` may name ids."""
+    none = F.col("ids_text") == ""
+    rows = encoded.withColumn("ids", F.when(none, F.array().cast("array<int>")).otherwise(F.split("ids_text", " ", -1).cast("array<int>")))
+    return rows.select(
         "doc_id",
-        F.when(F.col("ids_text") == "", F.lit(0)).otherwise(F.char_length("ids_text") - F.char_length(F.replace("ids_text", F.lit(" "))) + 1).cast("bigint").alias("n_tokens"),
+        *more,
+        F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(encoder.decoded(ids), 256).alias("decoded_sha256"),
+        F.sha2(encoder.decoded(F.col("ids")), 256).alias("decoded_sha256"),
     )
 
 

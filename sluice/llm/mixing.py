@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import WORD_RE, let, present, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -94,17 +94,9 @@ def _taken_before(at: Column, size: Column, n_blocks: Column, quota: Column, sta
     return F.when(size <= 0, F.lit(0).cast("bigint")).otherwise(let(F.floor(at * n_blocks / F.greatest(size, F.lit(1))), within))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST,
-    block_words: int = BLOCK_WORDS,
-    shard_docs: int = SHARD_DOCS,
-    seed: int = SEED,
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, shard; one row a document."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
+def _spans(docs: DataFrame, more: list[Column], weights: tuple[float, ...], share: float, most: float, block_words: int, shard_docs: int, seed: int) -> DataFrame:
+    """Each document with its shard's cut and quota, and the end of its words in the shard's order."""
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), *more)
     n_docs = docs.select(F.lit(1)).count()
     sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max(1, -(-n_docs // shard_docs)))).cast("int"))
     cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
@@ -121,12 +113,63 @@ def mix(
     stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
     spans = sized.withColumn("_end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.join(cells, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")))
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks"))
+    return spans.withColumn("_start", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks")))
+
+
+def _before(at: Column) -> Column:
+    return _taken_before(at, F.col("cell_size"), F.col("n_blocks"), F.col("quota"), F.col("_start"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    block_words: int = BLOCK_WORDS,
+    shard_docs: int = SHARD_DOCS,
+    seed: int = SEED,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, shard; one row a document."""
+    spans = _spans(docs, [], weights, share, most, block_words, shard_docs, seed)
+    return spans.select("doc_id", "source", "size", "source_size", "target", (_before(F.col("_end")) - _before(F.col("_end") - F.col("size"))).alias("taken"), "shard")
 
-    def before(at: Column) -> Column:
-        return _taken_before(at, F.col("cell_size"), F.col("n_blocks"), F.col("quota"), start)
 
-    return spans.select("doc_id", "source", "size", "source_size", "target", (before(F.col("_end")) - before(F.col("_end") - F.col("size"))).alias("taken"), "shard")
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    block_words: int = BLOCK_WORDS,
+    shard_docs: int = SHARD_DOCS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row for each time that words of a document are taken.
+
+    A row's text is the document's, or, where taken blocks end within it, the taken words with the
+    white space after each; n_chars is brought up to date. The rows' words add up to ``taken``.
+    """
+    spans = _spans(docs, [F.struct("*").alias("row")], weights, share, most, block_words, shard_docs, seed)
+    first = F.col("_end") - F.col("size")
+    pieces = F.regexp_extract_all(present(F.col("row.text")), F.lit(f"{WORD_RE}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    times = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("size")), lambda i: _before(first + i) - _before(first + i - 1))
+    rows = spans.withColumn("_taken", _before(F.col("_end")) - _before(first)).filter("_taken > 0")
+    rows = rows.withColumn("_whole", F.floor(F.col("_taken") / F.col("size")))
+    rows = rows.withColumn("_even", F.col("_taken") == F.col("_whole") * F.col("size"))
+    # Uneven: some blocks within the document are taken once more than the others.
+    parts = F.transform(F.sequence(F.lit(1), F.lit(-(-int(most) // 1) + 1)), lambda k: F.filter(F.arrays_zip(pieces.alias("w"), times.alias("t")), lambda x: x["t"] >= k))
+    texts = F.when(F.col("_even"), F.array_repeat(F.col("row.text"), F.col("_whole").cast("int"))).otherwise(
+        F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: F.when(F.size(p) == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.transform(p, lambda x: x["w"]), "")))
+    )
+    out = rows.select("row", F.explode(texts).alias("_text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("_text").alias(name)
+        if name == "n_chars":
+            return F.when(F.col("_text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("_text")).cast(docs.schema[name].dataType).alias(name)
+        return F.col("row").getField(name).alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

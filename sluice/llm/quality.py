@@ -94,6 +94,14 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     return with_verdicts(rows, host_limit)
 
 
+def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    made = measures(F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), "source", made["n_words"].alias("n_words"), made["n_repeat_words"].alias("n_repeat_words"))
+    rows = rows.withColumn("base_failed", base_failed()).select("row", "source", "base_failed")
+    return with_verdicts(rows, host_limit).filter("kept").select("row.*")
+
+
 def with_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     hosts = host_rates(rows, "source", "base_failed")
     # A window over the host would bring a hot host to one task; the verdicts are joined instead.

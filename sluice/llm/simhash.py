@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, written
+from .common import n_partitions, small, written
 from .components import components
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -56,15 +56,15 @@ def text_simhash(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
 
 def simhashes(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, tie, fp) of every row; fp holds the 64 bits as a signed long, tie is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([text_simhash(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([text_simhash(t.as_py(), width) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "tie", "fp"])
 
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {ids}, fp bigint")
+    ids, text = docs.schema["doc_id"].dataType.simpleString(), F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, f"doc_id {ids}, tie bigint, fp bigint")
 
 
 def _sorted_tiles(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,14 +154,35 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the least doc_id linked to it."""
+    """(doc_id, tie, fp, component_id) of every row; component_id is the least doc_id linked to it."""
     marked = written(simhashes(docs, width), "simhash")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(fps.select("fp"), radius))
     classes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = classes.select(F.col("fp").alias("_fp"), "root").join(named, "root").select("_fp", "component_id")
-    return marked.join(by_fp, marked["fp"] == by_fp["_fp"], "left").select("doc_id", "fp", "component_id")
+    by_fp = classes.select(F.col("fp").alias("_fp"), "root").join(named, "root").select("_fp", "root", "component_id")
+    return marked.join(by_fp, marked["fp"] == by_fp["_fp"]).select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each group: that of least id (then least hash of the text; null ids last).
+
+    Rows of one id and text are told apart by nothing; one of them stays.
+    """
+    groups = written(near_groups(docs, radius, width), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
+    keys = groups.groupBy("doc_id", "tie", "root").agg(F.count(F.lit(1)).alias("copies"))
+    first = groups.groupBy("root").agg(F.min(place).alias("first")).select(F.col("root").alias("_root"), "first")
+    judged = keys.join(first, F.col("root") == F.col("_root"))
+    stays = F.col("first") == place
+    marks = judged.filter(~stays | (F.col("copies") > 1)).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), stays.alias("_stays"))
+    marks = small(written(marks, "marks"), 24)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_tie"))
+    rows = rows.join(marks, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")), "left")
+    out = rows.filter(F.col("_stays").isNull())
+    if marks.filter("_stays").head(1):
+        out = out.unionByName(rows.filter("_stays").dropDuplicates(["_doc", "_tie"]))
+    return out.select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
