@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES_TRAIN, WINDOW_TRAIN = 128, 32
-LANES_SCORE, WINDOW_SCORE = 256, 64
-RATE, CLIP = 0.08, 1.0
+LANES_TRAIN, LANES_LEAST, WINDOW_TRAIN, WINDOWS_TRAIN = 128, 4, 32, 64
+LANES_SCORE, WINDOW_SCORE = 384, 64
+RATE, CLIP = 0.2, 1.0
+#: The least probability of a step, where float32 would give none.
+TINY = 1e-37
 
 
 def init(counts: np.ndarray, bounds: np.ndarray, hidden: int, seed: int) -> dict[str, np.ndarray]:
@@ -67,27 +69,29 @@ def _segments(targets: np.ndarray, bounds: np.ndarray, class_of: np.ndarray) ->
 
 
 def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
+    """Numerators and denominators; the greatest logit is only taken off where exp overflows."""
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        total = e @ np.ones(e.shape[1], np.float32)
+    if not (np.isfinite(total).all() and total.min(initial=1.0) > 0):
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        total = e.sum(axis=1)
     return e, total
 
 
 def log_probs(p: dict, bounds: np.ndarray, class_of: np.ndarray, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logs of the targets' probabilities after these states."""
     rows = np.arange(len(targets))
-    logits = states @ p["Vc"] + p["bc"]
-    top = logits.max(axis=1)
-    out = (logits[rows, class_of[targets]] - top).astype(np.float64) - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    e, total = _softmax(states @ p["Vc"] + p["bc"])
+    out = np.log((e[rows, class_of[targets]] / total).astype(np.float64) + TINY)
     order, starts = _segments(targets, bounds, class_of)
     for c in range(len(bounds) - 1):
         at = order[starts[c] : starts[c + 1]]
         lo, hi = bounds[c], bounds[c + 1]
         if not len(at) or hi - lo == 1:
             continue
-        logits = states[at] @ p["Wo"][lo:hi].T + p["bo"][lo:hi]
-        top = logits.max(axis=1)
-        out[at] += (logits[np.arange(len(at)), targets[at] - lo] - top) - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        e, total = _softmax(states[at] @ p["Wo"][lo:hi].T + p["bo"][lo:hi])
+        out[at] += np.log((e[rows[: len(at)], targets[at] - lo] / total).astype(np.float64) + TINY)
     return out
 
 
@@ -133,28 +137,27 @@ class Trainer:
         self.p = {k: v.copy() for k, v in params.items()}
         self.squares = {k: np.full(v.shape if k not in ("E", "Wo") else (len(v), 1), 1e-3, np.float32) for k, v in params.items()}
         self.bounds, self.class_of, self.end = bounds, class_of, end
-        self.h = np.zeros((LANES_TRAIN, params["U"].shape[0]), np.float32)
-        self.last = np.full(LANES_TRAIN, end)
         self.queue: list[np.ndarray] = []
         self.waiting = self.seen = 0
 
     def add(self, document: np.ndarray) -> None:
         self.queue.append(np.append(document, self.end))
         self.waiting += len(document) + 1
-        if self.waiting >= 64 * LANES_TRAIN * WINDOW_TRAIN:
+        if self.waiting >= WINDOWS_TRAIN * LANES_TRAIN * WINDOW_TRAIN:
             self.drain()
 
     def drain(self) -> None:
-        """Deals the waiting documents to the lanes as one stream each and trains on full windows."""
+        """Trains on the waiting documents, laid end to end and cut into lanes for about WINDOWS_TRAIN steps."""
         if not self.waiting:
             return
         stream = np.concatenate(self.queue)
         self.queue, self.waiting = [], 0
-        width = -(-len(stream) // LANES_TRAIN)
+        n = min(LANES_TRAIN, max(LANES_LEAST, len(stream) // (WINDOWS_TRAIN * WINDOW_TRAIN)))
+        width = -(-len(stream) // n)
         # What is lacking in the last lane is made up from the stream's start.
-        lanes = np.resize(stream, width * LANES_TRAIN).reshape(LANES_TRAIN, width).T
-        self.last[:] = np.concatenate([[self.end], lanes[-1, :-1]])  # a lane goes on where the one before it ends
-        self.h[:] = 0
+        lanes = np.resize(stream, width * n).reshape(n, width).T
+        self.last = np.concatenate([[self.end], lanes[-1, :-1]])  # a lane goes on where the one before it ends
+        self.h = np.zeros((n, self.p["U"].shape[0]), np.float32)
         for at in range(0, width, WINDOW_TRAIN):
             y = lanes[at : at + WINDOW_TRAIN]
             x = np.concatenate([self.last[None], y[:-1]])
@@ -188,7 +191,7 @@ class Trainer:
             grad[at] += d @ out
             step = d.T @ own / n
             square = self.squares["Wo"][lo:hi]
-            square += (step * step).mean(axis=1, keepdims=True)
+            square += np.einsum("ij,ij->i", step, step)[:, None] / step.shape[1]
             out -= RATE * step / np.sqrt(square)
             bias = d.sum(axis=0) / n
             square = self.squares["bo"][lo:hi]
@@ -221,7 +224,7 @@ class Trainer:
         self._dense("Wx", embedded.T @ flat)
         self._dense("b", flat.sum(axis=0))
         square = self.squares["E"]
-        square[symbols] += (rows * rows).mean(axis=1, keepdims=True)
+        square[symbols] += np.einsum("ij,ij->i", rows, rows)[:, None] / hidden
         p["E"][symbols] -= RATE * rows / np.sqrt(square[symbols])
 
     def _dense(self, name: str, step: np.ndarray) -> None:

@@ -35,7 +35,7 @@ from . import gru
 from .common import written
 
 HEAD, RARE, KNOWN, TOKEN_BYTES = 4096, 128, 200_000, 64
-HIDDEN, CLASSES, SEED = 24, 48, 7
+HIDDEN, CLASSES, SEED = 16, 48, 7
 #: Shares of the training documents in the rounds, by a hash of the document.
 ROUNDS = (0.02, 0.10, 0.28, 0.60)
 #: Distinct tokens that a worker holds before it hands on their counts.
