@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,13 +177,18 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 0
-    marks = labels.select(F.col("doc_id").alias("_doc"), F.col("toxic").cast("int").alias("toxic")).filter("_doc is not null and toxic in (0, 1)").groupBy("_doc").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held).join(marks, F.col("doc_id") == F.col("_doc"))
-    rows = rows.select(F.col("toxic"), F.xxhash64("doc_id").alias("h"), "doc_id", "text").filter(F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    found = []
+    """The sample is picked among the labels' ids, which hold no texts; only its texts are fetched."""
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    marks = marks.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked: list = []
     for label in (0, 1):
-        found += rows.filter(F.col("toxic") == label).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
+        picked += marks.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    # Two classes of SAMPLE_DOCS ids at most, so this is small whatever the tables are.
+    sample = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], f"_doc {ids}, toxic int"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
+    found = rows.join(sample, F.col("doc_id") == F.col("_doc")).select("toxic", "doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    found.sort(key=lambda r: (r["toxic"], xxhash.xxh64_intdigest(str(r["doc_id"]).encode())))
     return Model([r["text"] or "" for r in found], np.array([r["toxic"] for r in found], np.int64))
 
 
