@@ -74,7 +74,7 @@ class Feistel:
 
 
 class ByteBpe:
-    """An encoder's recipe: calling it on a worker gives a function from texts to lists of ids.
+    """An encoder's recipe: calling it on a worker gives a function from a text to its list of ids.
 
     The rank file is read where this is made, on the driver, and travels with it.
     """
@@ -82,11 +82,16 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks, self.pattern = load_ranks(path), pattern
 
-    def __call__(self) -> Callable[[list[str]], list[list[int]]]:
+    def __call__(self) -> Callable[[str], list[int]]:
         import tiktoken
 
-        encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+
+
+def _content(column: pa.BinaryArray) -> memoryview:
+    """The values of a column without nulls, one behind the other."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)
+    return memoryview(column.buffers()[2])[edges[column.offset] : edges[column.offset + len(column)]]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -99,8 +104,9 @@ def count_tokens(docs: DataFrame, shared) -> list[tuple[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, n = shared.value(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                n += sum(len(x) + 1 for x in encode(batch.column(1).slice(at, 256).to_pylist()))
+            # One text at a time, so that no more than its ids are held.
+            for text in batch.column(1):
+                n += len(encode(text.as_py())) + 1
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
     return [(r["p"], r["n"]) for r in _texts(docs).mapInArrow(run, "p int, n bigint").collect() if r["n"]]
@@ -134,14 +140,18 @@ def materialise(
         def rows(stream: np.ndarray, at: int) -> pa.RecordBatch:
             n = len(stream) // sequence
             slots = order.slot(np.arange(at, at + n))
-            return pa.RecordBatch.from_arrays([pa.array((slots // shard_rows).astype(np.int32)), pa.array(slots), pa.array([stream[i : i + sequence].tobytes() for i in range(0, len(stream), sequence)], pa.binary())], names=["shard", "slot", "ids"])
+            edges = pa.py_buffer(np.arange(0, (n + 1) * 2 * sequence, 2 * sequence, np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), n, [None, edges, pa.py_buffer(np.ascontiguousarray(stream))])
+            return pa.RecordBatch.from_arrays([pa.array((slots // shard_rows).astype(np.int32)), pa.array(slots), ids], names=["shard", "slot", "ids"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 parts = [rest]
-                for ids in encode(batch.column(1).slice(k, 256).to_pylist()):
-                    parts.append(np.array([*ids, end_token], "<u2"))
-                    seen += len(ids) + 1
+                for text in batch.column(1).slice(k, 256):
+                    ids = encode(text.as_py())
+                    ids.append(end_token)
+                    parts.append(np.array(ids, "<u2"))
+                    seen += len(ids)
                 rest = np.concatenate(parts)
                 whole = len(rest) // sequence * sequence
                 if whole:
@@ -169,7 +179,7 @@ def materialise(
             slots = batch.column(1).to_numpy()
             if not (slots == np.arange(slot, slot + len(slots))).all():
                 raise RuntimeError(f"shard {shard} lacks slots from {slot}")
-            data = b"".join(batch.column(2).to_pylist())
+            data = _content(batch.column(2))
             out.write(data)
             digest.update(data)
             n, slot = n + len(slots), slot + len(slots)
