@@ -50,22 +50,22 @@ def to_java(pattern: str) -> str:
         out.append(c)
         at += 1
     java = "(?Ud)" + "".join(out)
-    _verify(pattern)
+    _verify(java)
     return java
 
 
-def _verify(pattern: str) -> None:
+def _verify(java: str) -> None:
     """Refuses what is no pattern at all, with the JVM's own compiler where one runs."""
     from pyspark import SparkContext
 
     jvm = SparkContext._active_spark_context._jvm if SparkContext._active_spark_context else None
     if jvm is None:
         try:
-            re.compile(re.sub(r"\\[pP](\{[^}]*\}|.)", "x", pattern).replace(r"\z", r"\Z"))
+            re.compile(re.sub(r"\\[pP](\{[^}]*\}|.)", "x", java[5:]).replace("(?<", "(?P<").replace(r"\z", r"\Z"))
         except re.error as e:
             raise PatternError(str(e)) from e
         return
     try:
-        jvm.java.util.regex.Pattern.compile(pattern)
+        jvm.java.util.regex.Pattern.compile(java)
     except Exception as e:
         raise PatternError(str(e).splitlines()[0]) from e

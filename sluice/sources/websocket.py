@@ -61,6 +61,12 @@ class WebSocket:
         self.socket.sendall(bytes([128 | opcode]) + size + mask + masked)
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        try:
+            yield from self._messages()
+        finally:
+            self.socket.close()
+
+    def _messages(self) -> Iterator[tuple[int, bytes]]:
         parts, kind = b"", 0
         while True:
             try:
