@@ -218,7 +218,7 @@ class Collected(list):
 
     def take(self, df: DataFrame) -> Collected:
         order = [c for c in ("slot", "seq", "win") if c in df.columns]
-        rows = [r["payload"] for r in df.orderBy(*order).select("payload").collect()]
+        rows = [r["payload"] for r in (df.orderBy(*order) if order else df).select("payload").collect()]
         with self._lock:
             self.extend(rows)
         return self

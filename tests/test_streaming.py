@@ -1,5 +1,7 @@
 """Streams against bounded runs of the same messages, sinks, the monitor, and the callable classes."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,12 +120,11 @@ def test_monitor_reports_progress(spark, stream, tmp_path):
     watch.start()
     try:
         run(stateful.count_windows(df, 3), "watched", tmp_path)
-        for _ in range(50):
-            if lines:
+        # Progress reports come some time after the batches that they are about.
+        for _ in range(100):
+            if lines and lines[-1]["total_rows"] == len(ITEMS) + 2:
                 break
-            import time
-
-            time.sleep(0.2)
+            time.sleep(0.1)
     finally:
         watch.stop()
     assert lines and {x["name"] for x in lines} == {"watched"}
