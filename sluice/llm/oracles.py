@@ -64,3 +64,30 @@ SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        NOT base_failed AND host_rate <= 0.6 AS kept, round(host_rate, 9) AS host_rate
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
+
+#: Lines within one edit share one half of the shorter line, from the left or from the right.
+OP5 = r"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+    SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), firsts AS (
+    SELECT line, min(pos) AS first, length(line) AS n FROM placed GROUP BY line
+), roles AS (
+    SELECT *, n AS base, 0 AS role FROM firsts WHERE n >= 16 UNION ALL SELECT *, n - 1, 1 FROM firsts WHERE n >= 17
+), keys AS (
+    SELECT *, 'left' AS side, left(line, base // 2) AS part FROM roles UNION ALL SELECT *, 'right', right(line, base - base // 2) FROM roles
+), pairs AS (
+    SELECT DISTINCT a.line AS x, a.first AS fx, a.n AS n, b.line AS y, b.first AS fy, 1 - b.role AS same
+    FROM keys a JOIN keys b ON a.base = b.base AND a.side = b.side AND a.part = b.part AND a.role = 0 AND a.line <> b.line
+), near AS (
+    SELECT x, fx, y, fy FROM pairs
+    WHERE len(list_filter(range(0, n + 1), lambda i: left(x, i) = left(y, i) AND substr(x, i + 1 + same) = substr(y, i + 2))) > 0
+), later AS (
+    SELECT x AS line FROM near WHERE fy < fx UNION SELECT y FROM near WHERE fx < fy
+)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, pos = first AS near
+FROM placed JOIN firsts USING (line) WHERE pos > first OR line IN (SELECT line FROM later)
+"""

@@ -29,5 +29,6 @@ QUERIES = {
 
 #: The others are tested against brute force or exact round trips in tests/llm.
 ORACLES = {
+    "op5_line_dedup": oracles.OP5,
     "op7_quality": oracles.OP7,
 }
