@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES_TRAIN, LANES_LEAST, WINDOW_TRAIN, WINDOWS_TRAIN = 128, 4, 32, 64
-LANES_SCORE, WINDOW_SCORE = 384, 64
-RATE, CLIP = 0.2, 1.0
+LANES_TRAIN, LANES_LEAST, WINDOW_TRAIN, WINDOWS_TRAIN = 256, 4, 32, 64
+LANES_SCORE, WINDOW_SCORE = 512, 64
+RATE, CLIP = 0.25, 1.0
 #: The least probability of a step, where float32 would give none.
 TINY = 1e-37
 
@@ -29,23 +29,22 @@ def init(counts: np.ndarray, bounds: np.ndarray, hidden: int, seed: int) -> dict
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     share = counts + 0.5
     by_class = np.add.reduceat(share, bounds[:-1])
+    # The last row of Vc and column of Wo are the biases: states carry a one in that place.
     return {
         "E": draw(n, hidden, scale=0.3),
         "Wx": draw(hidden, 3 * hidden, scale=hidden**-0.5),
         "U": draw(hidden, 3 * hidden, scale=hidden**-0.5),
         "b": np.zeros(3 * hidden, np.float32),
-        "Vc": draw(hidden, c, scale=0.05),
-        "bc": np.log(by_class / by_class.sum()).astype(np.float32),
-        "Wo": draw(n, hidden, scale=0.05),
-        "bo": np.log(share / np.repeat(by_class, np.diff(bounds))).astype(np.float32),
+        "Vc": np.vstack([draw(hidden, c, scale=0.05), np.log(by_class / by_class.sum()).astype(np.float32)]),
+        "Wo": np.column_stack([draw(n, hidden, scale=0.05), np.log(share / np.repeat(by_class, np.diff(bounds))).astype(np.float32)]),
     }
 
 
 def _steps(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states of a window; x are input symbols (time, lane), fresh marks documents' first steps."""
+    """Hidden states, with a one behind each, of a window; x are input symbols (time, lane), fresh marks documents' first steps."""
     hidden = h.shape[1]
-    inputs = p["table"][x] if "table" in p else p["E"][x] @ p["Wx"] + p["b"]
-    states, kept = np.empty((*x.shape, hidden), np.float32), []
+    inputs = (p["table"] if "table" in p else p["E"] @ p["Wx"] + p["b"]).take(x, axis=0)
+    states, kept = np.ones((*x.shape, hidden + 1), np.float32), []
     for t in range(len(x)):
         h = h * (1 - fresh[t])[:, None]
         u = h @ p["U"]
@@ -57,15 +56,15 @@ def _steps(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool)
         if keep:
             kept.append((h, u[:, 2 * hidden :], z, r, cand))
         h = h + z * (cand - h)
-        states[t] = h
+        states[t, :, :hidden] = h
     return states, kept
 
 
-def _segments(targets: np.ndarray, bounds: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segments(targets: np.ndarray, bounds: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Targets' order by class, and where each class begins in it."""
-    classes = class_of[targets]
-    order = np.argsort(classes, kind="stable")
-    return order, np.searchsorted(classes[order], np.arange(len(bounds)))
+    classes = class_of.take(targets).astype(np.int16)
+    order = np.argsort(classes, kind="stable")  # a radix sort for 16 bits
+    return order, np.searchsorted(classes.take(order), np.arange(len(bounds))).tolist()
 
 
 def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +79,20 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_probs(p: dict, bounds: np.ndarray, class_of: np.ndarray, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural logs of the targets' probabilities after these states."""
-    rows = np.arange(len(targets))
-    e, total = _softmax(states @ p["Vc"] + p["bc"])
-    out = np.log((e[rows, class_of[targets]] / total).astype(np.float64) + TINY)
+    """Natural logs of the targets' probabilities after these states (with their ones)."""
     order, starts = _segments(targets, bounds, class_of)
-    for c in range(len(bounds) - 1):
-        at = order[starts[c] : starts[c + 1]]
-        lo, hi = bounds[c], bounds[c + 1]
-        if not len(at) or hi - lo == 1:
-            continue
-        e, total = _softmax(states[at] @ p["Wo"][lo:hi].T + p["bo"][lo:hi])
-        out[at] += np.log((e[rows[: len(at)], targets[at] - lo] / total).astype(np.float64) + TINY)
+    states, targets = states.take(order, axis=0), targets.take(order)
+    rows, edges = np.arange(len(targets)), bounds.tolist()
+    e, total = _softmax(states @ p["Vc"])
+    found = e[rows, class_of.take(targets)] / total
+    inner = np.ones(len(targets), np.float32)
+    for c, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        at, to = starts[c], starts[c + 1]
+        if at < to and hi - lo > 1:
+            e, total = _softmax(states[at:to] @ p["Wo"][lo:hi].T)
+            inner[at:to] = e[rows[: to - at], targets[at:to] - lo] / total
+    out = np.empty(len(targets))
+    out[order] = np.log(found + TINY) + np.log(inner + TINY)
     return out
 
 
@@ -123,7 +124,7 @@ def score(p: dict, bounds: np.ndarray, class_of: np.ndarray, end: int, documents
             y[: len(part), k], mine[: len(part), k] = part, owners[k][at : at + width]
         x = np.concatenate([last[None, :n], y[:-1]])
         states, _ = _steps(p, x, (x == end).astype(np.float32), h[:n], False)
-        h, last = states[-1], y[-1]
+        h, last = states[-1, :, :-1], y[-1]
         real = (mine >= 0).reshape(-1)
         flat, aims = states.reshape(-1, states.shape[-1])[real], y.reshape(-1)[real]
         total += np.bincount(mine.reshape(-1)[real], weights=log_probs(p, bounds, class_of, flat, aims), minlength=len(documents))
@@ -169,63 +170,66 @@ class Trainer:
         p, hidden = self.p, self.h.shape[1]
         fresh = (x == self.end).astype(np.float32)
         states, kept = _steps(p, x, fresh, self.h, True)
-        self.h = states[-1]
-        flat, aims = states.reshape(-1, hidden), y.reshape(-1)
-        n = len(aims)
-        e, total = _softmax(flat @ p["Vc"] + p["bc"])
-        d = e / total[:, None]
-        d[np.arange(n), self.class_of[aims]] -= 1
+        self.h = states[-1, :, :hidden]
+        aims = y.reshape(-1)
+        n, edges = len(aims), self.bounds.tolist()
+        order, starts = _segments(aims, self.bounds, self.class_of)
+        flat, aims = states.reshape(n, -1).take(order, axis=0), aims.take(order)
+        rows = np.arange(n)
+        d, total = _softmax(flat @ p["Vc"])
+        d /= total[:, None]
+        d[rows, self.class_of.take(aims)] -= 1
         grad = d @ p["Vc"].T
         self._dense("Vc", flat.T @ d / n)
-        self._dense("bc", d.sum(axis=0) / n)
-        order, starts = _segments(aims, self.bounds, self.class_of)
-        for c in range(len(self.bounds) - 1):
-            at = order[starts[c] : starts[c + 1]]
-            lo, hi = self.bounds[c], self.bounds[c + 1]
-            if not len(at) or hi - lo == 1:
+        for c, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            at, to = starts[c], starts[c + 1]
+            if at == to or hi - lo == 1:
                 continue
-            own, out = flat[at], p["Wo"][lo:hi]
-            e, total = _softmax(own @ out.T + p["bo"][lo:hi])
-            d = e / total[:, None]
-            d[np.arange(len(at)), aims[at] - lo] -= 1
-            grad[at] += d @ out
-            step = d.T @ own / n
+            own, out = flat[at:to], p["Wo"][lo:hi]
+            d, total = _softmax(own @ out.T)
+            d /= total[:, None]
+            d[rows[: to - at], aims[at:to] - lo] -= 1
+            grad[at:to] += d @ out
+            step = d.T @ own
+            step /= n
             square = self.squares["Wo"][lo:hi]
             square += np.einsum("ij,ij->i", step, step)[:, None] / step.shape[1]
             out -= RATE * step / np.sqrt(square)
-            bias = d.sum(axis=0) / n
-            square = self.squares["bo"][lo:hi]
-            square += bias * bias
-            p["bo"][lo:hi] -= RATE * bias / np.sqrt(square)
-        self._through_time(x, fresh, kept, (grad / n).reshape(states.shape))
+        back = np.empty((n, hidden), np.float32)
+        back[order] = grad[:, :hidden] / n
+        self._through_time(x, fresh, kept, back.reshape(*x.shape, hidden))
 
     def _through_time(self, x: np.ndarray, fresh: np.ndarray, kept: list, grad: np.ndarray) -> None:
         p, hidden = self.p, self.h.shape[1]
         inner = np.empty((*x.shape, 3 * hidden), np.float32)
         outer = np.empty((*x.shape, 3 * hidden), np.float32)
-        carry = np.zeros_like(self.h)
+        carry = np.zeros_like(grad[0])
+        up = np.ascontiguousarray(p["U"].T)
         for t in range(len(x) - 1, -1, -1):
             h, u, z, r, cand = kept[t]
             dh = grad[t] + carry
             dc = dh * z * (1 - cand * cand)
-            dz = dh * (cand - h) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            inner[t, :, :hidden], inner[t, :, hidden : 2 * hidden], inner[t, :, 2 * hidden :] = dz, dr, dc
-            outer[t, :, : 2 * hidden], outer[t, :, 2 * hidden :] = inner[t, :, : 2 * hidden], dc * r
-            carry = (dh * (1 - z) + outer[t] @ p["U"].T) * (1 - fresh[t])[:, None]
+            inner[t, :, :hidden] = dh * (cand - h) * z * (1 - z)
+            inner[t, :, hidden : 2 * hidden] = dc * u * r * (1 - r)
+            inner[t, :, 2 * hidden :] = dc
+            outer[t, :, : 2 * hidden] = inner[t, :, : 2 * hidden]
+            outer[t, :, 2 * hidden :] = dc * r
+            carry = (dh * (1 - z) + outer[t] @ up) * (1 - fresh[t])[:, None]
         flat = inner.reshape(-1, 3 * hidden)
         before = np.stack([k[0] for k in kept]).reshape(-1, hidden)
-        symbols, place = np.unique(x, return_inverse=True)
-        place = place.reshape(-1)
-        by = np.argsort(place, kind="stable")
-        rows = np.add.reduceat((flat @ p["Wx"].T)[by], np.searchsorted(place[by], np.arange(len(symbols))), axis=0)
-        embedded = p["E"][x.reshape(-1)]
+        symbols = x.reshape(-1)
+        by = np.argsort(symbols.astype(np.int16) if len(p["E"]) < 32_768 else symbols, kind="stable")
+        ordered = symbols.take(by)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows = np.add.reduceat((flat @ p["Wx"].T).take(by, axis=0), first, axis=0)
+        embedded = p["E"].take(symbols, axis=0)
+        touched = ordered.take(first)
         self._dense("U", before.T @ outer.reshape(-1, 3 * hidden))
         self._dense("Wx", embedded.T @ flat)
         self._dense("b", flat.sum(axis=0))
         square = self.squares["E"]
-        square[symbols] += np.einsum("ij,ij->i", rows, rows)[:, None] / hidden
-        p["E"][symbols] -= RATE * rows / np.sqrt(square[symbols])
+        square[touched] += np.einsum("ij,ij->i", rows, rows)[:, None] / hidden
+        p["E"][touched] -= RATE * rows / np.sqrt(square[touched])
 
     def _dense(self, name: str, step: np.ndarray) -> None:
         norm = float(np.sqrt((step * step).sum()))

@@ -21,9 +21,9 @@ are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from . import gru
 from .common import written
 
 HEAD, RARE, KNOWN, TOKEN_BYTES = 4096, 128, 200_000, 64
-HIDDEN, CLASSES, SEED = 16, 48, 7
+HIDDEN, CLASSES, SEED = 16, 36, 7
 #: Shares of the training documents in the rounds, by a hash of the document.
 ROUNDS = (0.02, 0.10, 0.28, 0.60)
 #: Distinct tokens that a worker holds before it hands on their counts.
@@ -44,13 +44,13 @@ BLOCK = 8192
 LOG10 = float(np.log(10.0))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in ASCII lower case, as UTF-8; bytes.lower and bytes.split know ASCII only."""
-    return (text or "").encode().lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words in ASCII lower case, of UTF-8; bytes.lower and bytes.split know ASCII only."""
+    return (text or b"").lower().split()
 
 
 def rare_group(token: bytes) -> int:
-    return zlib.crc32(token[-2:]) % RARE
+    return crc32(token[-2:]) % RARE
 
 
 def _split(modulus: int = 5) -> Column:
@@ -59,7 +59,8 @@ def _split(modulus: int = 5) -> Column:
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"), (_split() == 1).alias("held_out"))
+    # As bytes, so that workers neither decode nor encode them.
+    return docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("tie"), (_split() == 1).alias("held_out"))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -93,21 +94,30 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame) -> None:
         words = counts.filter("token is not null")
-        totals = counts.agg(F.sum("c"), F.sum(F.when(F.col("token").isNotNull(), 1))).first()
-        ends = counts.filter("token is null").agg(F.sum("c")).first()[0] or 0
-        self.n = int(totals[0] or 0)
-        self.v = int(totals[1] or 0) + (1 if ends else 0)
-        top = words.filter(F.octet_length("token") <= TOKEN_BYTES).orderBy(F.col("c").desc(), "token").limit(KNOWN).collect()
+        # Totals by ending: at most 65 793 endings of at most two bytes, with the null of the end token.
+        ending = F.substring(F.col("token"), F.greatest(F.octet_length("token") - 1, F.lit(1)), F.lit(2))
+        endings = counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+        self.ends = sum(int(r["c"]) for r in endings if r["e"] is None)
+        self.n = sum(int(r["c"]) for r in endings)
+        self.v = sum(int(r["v"]) for r in endings if r["e"] is not None) + (1 if self.ends else 0)
+        # All tokens above a count that at most KNOWN reach: found from a histogram of counts (bounded,
+        # 32 bins to a doubling), so no task has to keep the most frequent ones apart.
+        short = words.filter(F.octet_length("token") <= TOKEN_BYTES).withColumn("bin", F.floor(F.log2("c") * 32).cast("int"))
+        least, room = None, KNOWN
+        for r in sorted(short.groupBy("bin").count().collect(), reverse=True):
+            if r["count"] > room:
+                break
+            least, room = r["bin"], room - r["count"]
+        top = short.filter(F.col("bin") >= least).select("token", "c").collect() if least is not None else []
+        top.sort(key=lambda r: (-r["c"], bytes(r["token"])))
         self.known = {bytes(r[0]): r[1] for r in top}
         head = list(self.known)[:HEAD]
-        self.ends = int(ends)
-        # Totals of each group: at most 65 792 endings of at most two bytes.
-        ending = F.substring(F.col("token"), F.greatest(F.octet_length("token") - 1, F.lit(1)), F.lit(2))
         group_c, group_v = np.zeros(RARE), np.zeros(RARE)
-        for r in words.groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-            g = rare_group(bytes(r["e"]))
-            group_c[g] += r["c"]
-            group_v[g] += r["v"]
+        for r in endings:
+            if r["e"] is not None:
+                g = rare_group(bytes(r["e"]))
+                group_c[g] += r["c"]
+                group_v[g] += r["v"]
         for w in head:
             group_c[rare_group(w)] -= self.known[w]
             group_v[rare_group(w)] -= 1
@@ -136,15 +146,16 @@ class Vocabulary:
         self.base_end = float(np.log10((self.ends + 0.5) / (self.n + 0.5 * (self.v + 1))))
         self.known = None
 
-    def read(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols of a document, the places of its known tokens, and its other tokens."""
+    def read(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Symbols of a document, the places of its known tokens, its other tokens and their groups."""
         get = self.place.get
         at = np.array([get(w, -1) for w in ws], np.int64)
         symbols = self.symbol_at[at] if len(self.symbol_at) else np.zeros(len(at), np.int64)
         unknown = np.flatnonzero(at < 0)
         others = [ws[i] for i in unknown.tolist()]
-        symbols[unknown] = self.rare[[rare_group(w) for w in others]] if others else 0
-        return symbols, at[at >= 0], others
+        groups = np.array([crc32(w[-2:]) for w in others], np.int64) % RARE
+        symbols[unknown] = self.rare[groups]
+        return symbols, at[at >= 0], others, groups
 
 
 def _average(parts: DataFrame) -> dict[int, np.ndarray]:
@@ -205,25 +216,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
         v, p = shared.value
         group_log = np.log10(v.group_total)
         for batch in batches:
-            documents, mains, rares = [], [], []
+            documents, mains = [], []
+            owners, rares, times = [], [], []
             for i, text in enumerate(batch.column("text")):
-                symbols, known, others = v.read(tokens(text.as_py()))
-                share = float(v.share_at[known].sum())
-                for w, times in Counter(others).items():
-                    rares.append((i, w, times))
-                    share -= times * float(group_log[rare_group(w)])
-                mains.append((len(symbols) + 1, len(known) + int(v.ends > 0), float(v.base_at[known].sum()) + v.base_end, share))
+                symbols, known, others, groups = v.read(tokens(text.as_py()))
+                counted = Counter(others)
+                owners += [i] * len(counted)
+                rares += counted
+                times += counted.values()
+                mains.append((len(symbols) + 1, len(known) + int(v.ends > 0), v.base_at[known].sum() + v.base_end, v.share_at[known].sum() - group_log[groups].sum()))
                 documents.append(symbols)
             if not mains:
                 continue
-            logs = gru.score(p, v.bounds, v.class_of, v.end, documents) / LOG10
-            at = np.array([*range(len(mains)), *(r[0] for r in rares)], np.int64)
+            m, none = np.array(mains).T, np.zeros(len(rares))
+            m[3] += gru.score(p, v.bounds, v.class_of, v.end, documents) / LOG10
+            at = np.concatenate([np.arange(len(documents)), np.array(owners, np.int64)])
             taken = batch.select(["doc_id", "tie", "held_out"]).take(pa.array(at))
-            m, zeros = len(mains), [0] * len(rares)
-            n, k, b, s = zip(*mains, strict=True)
             # A main row's token holds a space, so it equals no token and spreads over the join.
+            rares = [*(f" {t}".encode() for t in batch.column("tie").to_pylist()), *rares]
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array([*(f" {t}".encode() for t in batch.column("tie").to_pylist()), *(r[1] for r in rares)], pa.binary()), pa.array([*[0] * m, *(r[2] for r in rares)], pa.int64()), pa.array([*n, *zeros], pa.int64()), pa.array([*k, *zeros], pa.int64()), pa.array([*b, *zeros], pa.float64()), pa.array([*(np.array(s) + logs), *zeros], pa.float64())],
+                [*taken.columns, pa.array(rares, pa.binary()), pa.array(np.concatenate([np.zeros(len(documents), np.int64), np.array(times, np.int64)])), *(pa.array(np.concatenate([x, none]).astype(k)) for x, k in zip(m, (np.int64, np.int64, np.float64, np.float64), strict=True))],
                 names=["doc_id", "tie", "held_out", "token", "times", "n_tokens", "n_known", "base", "score"],
             )
 
