@@ -32,12 +32,15 @@ def words(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder's path below the shared checkpoint folder that the session names."""
+    """A new folder's path below the shared checkpoint folder that the session names.
+
+    Where it names none, as in local tests, a folder below the warehouse becomes it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext.getCheckpointDir()
         if not kept:
-            spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints")
+            spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
             kept = spark.sparkContext.getCheckpointDir()
         root = kept
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
