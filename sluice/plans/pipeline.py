@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +54,6 @@ class Pipeline:
     stages: tuple[Stage, ...] = ()
     others: tuple[Pipeline, ...] = ()
     reorder: tuple[str, ...] = ()
-    watchers: tuple[Any, ...] = field(default=(), compare=False)
 
     def __or__(self, stage: Stage) -> Pipeline:
         if not isinstance(stage, Stage):
@@ -98,11 +97,13 @@ class Pipeline:
             return self.start().awaitTermination()
         return self.stages[-1].apply(df, 1) if self.stages and self.stages[-1].sink else df
 
-    def start(self, checkpoint: str | None = None, available_now: bool = True, output_mode: str = "append") -> StreamingQuery:
-        """Unbounded: starts the streaming query into the sink."""
+    def start(self, checkpoint: str | None = None, available_now: bool = True, output_mode: str = "append", name: str | None = None) -> StreamingQuery:
+        """Unbounded: starts the streaming query into the sink; ``name`` is what a monitor knows it by."""
         if not (self.stages and self.stages[-1].sink):
             raise TypeError("a stream has to end in a sink")
         writer = self.dataframe().writeStream.outputMode(output_mode).foreachBatch(lambda batch, _: self.stages[-1].apply(batch, 1))
+        if name:
+            writer = writer.queryName(name)
         if checkpoint:
             writer = writer.option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
