@@ -151,15 +151,23 @@ def mixed_documents(
     spans = _spans(docs, [F.struct("*").alias("row")], weights, share, most, block_words, shard_docs, seed)
     first = F.col("_end") - F.col("size")
     pieces = F.regexp_extract_all(present(F.col("row.text")), F.lit(f"{WORD_RE}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    times = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("size")), lambda i: _before(first + i) - _before(first + i - 1))
+    # Taken words before each word and after the last: the differences say how often each is taken.
+    before = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("size")), lambda i: _before(first + i))
     rows = spans.withColumn("_taken", _before(F.col("_end")) - _before(first)).filter("_taken > 0")
     rows = rows.withColumn("_whole", F.floor(F.col("_taken") / F.col("size")))
     rows = rows.withColumn("_even", F.col("_taken") == F.col("_whole") * F.col("size"))
     # Uneven: some blocks within the document are taken once more than the others.
-    parts = F.transform(F.sequence(F.lit(1), F.lit(-(-int(most) // 1) + 1)), lambda k: F.filter(F.arrays_zip(pieces.alias("w"), times.alias("t")), lambda x: x["t"] >= k))
-    texts = F.when(F.col("_even"), F.array_repeat(F.col("row.text"), F.col("_whole").cast("int"))).otherwise(
-        F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: F.when(F.size(p) == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.transform(p, lambda x: x["w"]), "")))
-    )
+    most_times = -int(-most // 1)
+
+    def parts(pair: Column) -> Column:
+        ws, marks = pair["ws"], pair["marks"]
+
+        def taken(k: int) -> Column:
+            return let(F.filter(ws, lambda w, i: F.get(marks, i + 1) - F.get(marks, i) >= k), lambda p: F.when(F.size(p) == F.size(ws), F.col("row.text")).otherwise(F.array_join(p, "")))
+
+        return F.filter(F.array(*[taken(k) for k in range(1, most_times + 1)]), lambda t: t != "")
+
+    texts = F.when(F.col("_even"), F.array_repeat(F.col("row.text"), F.col("_whole").cast("int"))).otherwise(let(F.struct(pieces.alias("ws"), before.alias("marks")), parts))
     out = rows.select("row", F.explode(texts).alias("_text"))
 
     def column(name: str) -> Column:
