@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sluice.llm import bpe, line_dedup, mixing, quality, simhash
 from sluice.llm.common import dropped, table, written
@@ -46,11 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256, decoded_sha256, and the ids themselves."""
+    """doc_id, source, ids, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    encoded, encoder = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(encoded.select("doc_id", "source", "ids_text"), encoder, "source", F.col("ids").alias("ids"))
+    return bpe.encode_documents(docs, ["doc_id", "source"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [

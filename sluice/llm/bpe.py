@@ -1,34 +1,46 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-A text is split by the tokenizer's pattern; each piece is a byte array, held as two hexadecimal
-digits a byte, because a binary literal of that size would have to be built entry by entry. A fold
-merges the neighbours of least rank until none has a rank. The rank map is a literal: two arrays, in
-which each key stands at one of two places given by its hash, so a lookup reads two entries at most
-and not the 50 256 of a map column. Decoding looks the ids up in a literal array of pieces and joins
-their bytes.
-
-Each distinct word is folded once as far as a bounded table allows: the words that are frequent in
-a share of the documents (by a hash of the text) are folded first, and their ids become a second
-literal of at most ``TABLE_WORDS`` words of at most ``TABLE_CHARS`` characters. A word outside it is
-folded where it stands. The table decides how often a fold runs, never what it gives.
+"""Byte-level BPE encoding and decoding; the merges are a fold of Spark's higher-order functions.
+
+1. Words. A text is split into words by the tokenizer's pattern, and all documents' words are
+   counted. The most frequent (those that occur twice or more, ``TABLE_WORDS`` at most, of
+   ``TABLE_CHARS`` characters at most) are folded first and become a table that is broadcast.
+2. Coding. A document becomes the ids of its words from the table, with a mark in place of any other
+   word, and the byte arrays of its distinct other words.
+3. Fold. Each such byte array starts as the ids of its bytes. The fold merges the neighbours whose
+   merged rank is least, the first of equals, until no two neighbours have one. The rank map is a
+   literal: for a pair of ids, the rank of the two joined; a key stands at one of two places of an
+   array, so a lookup reads two entries at most and not the 108 000 of a map column.
+4. The folded words take the marks' places. Decoding joins the pieces of the ids as bytes.
+
+The table decides how often a fold runs, never what it gives. Frequent words are looked up and ids
+hashed in Arrow batches: as columns of higher-order functions, which are interpreted, that took
+several times the seconds (README).
 
 Defined results: null and empty texts have no ids and decode to nothing (the hash of an empty
-string). Repeated rows give repeated rows; an empty table gives none. Extra columns pass unread. A
-single piece of n bytes without any break takes time in n squared.
+string). Repeated rows give repeated rows; an empty table gives none. Columns that are asked for pass
+unread, whatever their names. A single word of n bytes without any break takes time in n squared.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import xxhash
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, present
+from .common import let, written
 
 NONE = 1 << 30
-TABLE_WORDS, TABLE_CHARS, TABLE_SHARE = 150_000, 40, 8
+TABLE_WORDS, TABLE_CHARS = 400_000, 40
+#: Distinct words that a worker counts before it hands them on.
+HELD = 200_000
+#: Stands before the two digits of a word's number; no id is as great.
+MARK = 0xFFFF
 #: Entries for each key of a two-place table; under half full, places can be found for all.
 ROOM = 2.4
 
@@ -39,39 +51,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def java_pattern(pattern: str) -> str:
-    """White space as Unicode has it, as the tokenizer's own engine takes it."""
-    return f"(?U){pattern}"
-
-
-def pieces(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(present(text), F.lit(java_pattern(pattern)), F.lit(0))
-
-
-class Table:
-    """A literal map from strings to values: each key at one of two places given by its hash."""
+class PairTable:
+    """A literal map from two ids to the id that they merge to: a pair is at one of two places."""
 
-    def __init__(self, entries: dict[str, str], kind: str) -> None:
-        size = max(8, int(len(entries) * ROOM))
-        while True:
-            slots = self._placed(entries, size)
-            if slots is not None:
-                break
+    def __init__(self, pairs: dict[tuple[int, int], int]) -> None:
+        size = max(8, int(len(pairs) * ROOM))
+        while (slots := self._placed(pairs, size)) is None:
             size = int(size * 1.1) + 1
         self.size = size
-        self.keys = F.split(F.lit("\n".join(k if k is not None else "" for k in slots)), "\n", -1)
-        values = F.split(F.lit("\n".join(entries[k] if k is not None else "0" for k in slots)), "\n", -1)
-        self.values = values if kind == "string" else values.cast(f"array<{kind}>")
+        numbers = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",", -1).cast(f"array<{kind}>")
+        self.keys = numbers((-1 if k is None else k[0] << 16 | k[1] for k in slots), "bigint")
+        self.values = numbers((NONE if k is None else pairs[k] for k in slots), "int")
 
     @staticmethod
-    def _places(key: str, size: int) -> tuple[int, int]:
-        h = xxhash.xxh64_intdigest(key.encode(), 42)
-        return (h >> 33) % size, (h & 0x7FFFFFFF) % size
+    def _places(pair: tuple[int, int], size: int) -> tuple[int, int]:
+        a, b = pair
+        return (a << 16 | b) % size, (a * 40_503 + b * 9_973) % size
 
     @classmethod
-    def _placed(cls, entries: dict[str, str], size: int) -> list[str | None] | None:
-        slots: list[str | None] = [None] * size
-        for key in entries:
+    def _placed(cls, pairs: dict, size: int) -> list | None:
+        slots: list = [None] * size
+        for key in pairs:
             at = cls._places(key, size)[0]
             for _ in range(500):
                 slots[at], key = key, slots[at]
@@ -83,104 +83,219 @@ class Table:
                 return None
         return slots
 
-    def get(self, key: Column, missing: Column) -> Column:
-        def at(place: Column, other: Column) -> Column:
-            p = place.cast("int")
-            return F.when(F.get(self.keys, p) == key, F.get(self.values, p)).otherwise(other)
+    def bound(self, body: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+        """``body`` of a lookup (a, b), which gives NONE for pairs that do not merge.
+
+        The literals stand in the expression once, however many lookups the body makes: each
+        occurrence would be an array of its own in the plan, in its text and in every task.
+        """
+
+        def with_arrays(keys: Column, values: Column) -> Column:
+            def get(a: Column, b: Column) -> Column:
+                key = a.cast("bigint") * 65_536 + b
+                one, two = (key % self.size).cast("int"), ((a.cast("bigint") * 40_503 + b.cast("bigint") * 9_973) % self.size).cast("int")
+                return F.when(F.get(keys, one) == key, F.get(values, one)).when(F.get(keys, two) == key, F.get(values, two)).otherwise(F.lit(NONE))
+
+            return body(get)
+
+        return let(self.keys, lambda keys: let(self.values, lambda values: with_arrays(keys, values)))
+
 
-        def found(h: Column) -> Column:
-            return at(F.shiftrightunsigned(h, 33) % self.size, at(h.bitwiseAND(F.lit(0x7FFFFFFF)) % self.size, missing))
+def _folded(parts: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """The ids that an array of bytes' ids merges to."""
 
-        return let(F.xxhash64(key), found)
+    def start(parts: Column) -> Column:
+        n = F.size(parts)
+        pairs = F.transform(F.slice(parts, 1, n - 1), lambda a, i: rank(a, F.get(parts, i + 1)))
+        merged = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(parts.alias("parts"), pairs.alias("pairs")), step)
+        return F.when(n < 2, parts).otherwise(merged["parts"])
+
+    def step(state: Column, _: Column) -> Column:
+        return let(F.array_min(state["pairs"]), lambda least: F.when(least.isNull() | (least == NONE), state).otherwise(let(F.array_position(state["pairs"], least).cast("int"), lambda p: joined(state, least, p))))
+
+    def joined(state: Column, least: Column, p: Column) -> Column:
+        # The merged id is the rank itself; only the pairs on both sides of it change. Passes over
+        # these short arrays cost less than cutting and joining them.
+        parts, pairs = state["parts"], state["pairs"]
+        first, last = p - 2, p
+        now = F.transform(pairs, lambda x, i: F.when(i == first, rank(F.get(parts, first), least)).when(i == last, rank(least, F.get(parts, p + 1))).otherwise(x))
+        return F.struct(
+            F.filter(F.transform(parts, lambda x, i: F.when(i == p - 1, least).otherwise(x)), lambda x, i: i != p).alias("parts"),
+            F.filter(now, lambda x, i: i != p - 1).alias("pairs"),
+        )
+
+    return let(parts, start)
+
+
+class WordTable:
+    """Words and their 16-bit ids, as an Arrow table; workers make a dictionary of it once."""
+
+    def __init__(self, rows: pa.Table | None = None) -> None:
+        self.rows = rows
+        self._found: dict[str, bytes] | None = None
+
+    def __reduce__(self) -> tuple:
+        return WordTable, (self.rows,)
+
+    def dictionary(self) -> dict[str, bytes]:
+        if self._found is None:
+            self._found = dict(zip(self.rows.column(0).to_pylist(), self.rows.column(1).to_pylist(), strict=True)) if self.rows is not None else {}
+        return self._found
 
 
 class Encoder:
-    """Columns that encode and decode by one rank file and pattern."""
+    """Encodes and decodes by one rank file and pattern; ``learn_words`` fills its table."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> None:
+        if max(ranks.values()) >= MARK:
+            raise ValueError("ids have to fit in 16 bits")
         self.spark, self.pattern = spark, pattern
-        self.ranks = Table({t.hex().upper(): str(r) for t, r in ranks.items()}, "int")
-        by_rank = {r: t.hex().upper() for t, r in ranks.items()}
-        # Ranks without a token, if any, decode to nothing.
-        self.tokens = F.split(F.lit(",".join(by_rank.get(r, "") for r in range(max(by_rank) + 1))), ",", -1)
-        self.words: Table | None = None
-
-    def _rank(self, key: Column) -> Column:
-        return self.ranks.get(key, F.lit(NONE))
-
-    def fold(self, piece: Column) -> Column:
-        """The ids of one piece, joined by spaces."""
-
-        def start(code: Column) -> Column:
-            n = F.char_length(code) / 2
-            parts = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring(code, i * 2 - 1, F.lit(2)))
-            return let(parts, merge)
-
-        def merge(parts: Column) -> Column:
-            n = F.size(parts)
-            pairs = F.transform(F.slice(parts, 1, n - 1), lambda a, i: self._rank(F.concat(a, F.get(parts, i + 1))))
-            first = F.struct(parts.alias("parts"), pairs.alias("pairs"))
-            ended = F.aggregate(F.sequence(F.lit(1), n), first, step)
-            return let(ended, lambda e: F.array_join(F.transform(e["parts"], lambda p: self._rank(p).cast("string")), " "))
-
-        def step(state: Column, _: Column) -> Column:
-            return let(F.array_min(state["pairs"]), lambda least: F.when(least.isNull() | (least == NONE), state).otherwise(let(F.array_position(state["pairs"], least).cast("int"), lambda p: joined(state, p))))
-
-        def joined(state: Column, p: Column) -> Column:
-            parts, pairs = state["parts"], state["pairs"]
-            n = F.size(parts)
-
-            def around(new: Column) -> Column:
-                left = F.when(p > 1, F.concat(F.slice(pairs, 1, F.greatest(p - 2, F.lit(0))), F.array(self._rank(F.concat(F.get(parts, p - 2), new))))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p + 1 < n, F.concat(F.array(self._rank(F.concat(new, F.get(parts, p + 1)))), F.slice(pairs, p + 2, n))).otherwise(F.array().cast("array<int>"))
-                return F.struct(F.concat(F.slice(parts, 1, p - 1), F.array(new), F.slice(parts, p + 2, n)).alias("parts"), F.concat(left, right).alias("pairs"))
-
-            return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), around)
-
-        whole = F.hex(F.encode(piece, "UTF-8"))
-        return let(whole, lambda code: let(self._rank(code), lambda r: F.when(r < NONE, r.cast("string")).otherwise(start(code))))
-
-    def learn_words(self, docs: DataFrame) -> None:
-        """Fills the table of folded words from a share of the documents, chosen by hash."""
-        some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(TABLE_SHARE)) == 0)
-        counted = some.select(F.explode(pieces(F.col("text"), self.pattern)).alias("w")).groupBy("w").count()
-        common = counted.filter((F.char_length("w") <= TABLE_CHARS) & ~F.col("w").contains("\n")).orderBy(F.col("count").desc(), "w").limit(TABLE_WORDS)
-        folded = common.repartition(self.spark.sparkContext.defaultParallelism * 2).select("w", self.fold(F.col("w")).alias("ids"))
-        self.words = Table({r["w"]: r["ids"] for r in folded.collect()}, "string")
-
-    def ids_text(self, text: Column) -> Column:
-        """Decimal ids of a text, joined by single spaces."""
-        one = self.fold if self.words is None else lambda w: self.words.get(w, self.fold(w))
-        return F.array_join(F.transform(pieces(text, self.pattern), lambda w: one(w)), " ")
-
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tokens, i)), ""))
-
-
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, Encoder]:
-    """The rows of ``docs`` with ``ids_text``; and the encoder, for decoding."""
+        get = ranks.get
+        splits = (((get(t[:i]), get(t[i:])), r) for t, r in ranks.items() for i in range(1, len(t)))
+        self.pairs = PairTable({pair: r for pair, r in splits if None not in pair})
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        by_rank = {r: t for t, r in ranks.items()}
+        self.pieces = [by_rank.get(r, b"") for r in range(max(by_rank) + 1)]
+        self.table = WordTable()
+
+    def fold(self, words: Column) -> Column:
+        """Ids for each of an array of words, which are arrays of their bytes' ids."""
+        return self.pairs.bound(lambda rank: F.transform(words, lambda w: _folded(w, rank)))
+
+    def learn_words(self, docs: DataFrame, text: str = "text") -> None:
+        split, codes = self.pattern, self.bytes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, counts = regex.compile(split).findall, Counter()
+
+            def flush() -> pa.RecordBatch:
+                short = {w: n for w, n in counts.items() if len(w) <= TABLE_CHARS}
+                counts.clear()
+                return pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], names=["word", "n"])
+
+            for batch in batches:
+                for value in batch.column(0):
+                    counts.update(find(value.as_py() or ""))
+                    if len(counts) > HELD:
+                        yield flush()
+            if counts:
+                yield flush()
+
+        texts = docs.select(F.col(text).cast("string").alias("text"))
+        counted = texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 32).cast("int")), "words")
+        # A histogram of counts, 32 bins to a doubling, tells down to which count the table has room.
+        least, room = None, TABLE_WORDS
+        for r in sorted(counted.groupBy("bin").count().collect(), reverse=True):
+            if r["count"] > room:
+                break
+            least, room = r["bin"], room - r["count"]
+        common = counted.filter(F.col("bin") >= least if least is not None else F.lit(False)).select("word")
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[codes[b] for b in w.as_py().encode()] for w in batch.column(0)], pa.list_(pa.int32()))], names=["word", "parts"])
+
+        spelt = common.repartition(4 * self.spark.sparkContext.defaultParallelism).mapInArrow(spell, "word string, parts array<int>")
+        folded = spelt.select("word", F.get(self.fold(F.array("parts")), F.lit(0)).alias("ids"))
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(1)
+                edges, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u2")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], names=["word", "ids"])
+
+        # TABLE_WORDS rows at most, about 20 bytes each.
+        self.table = WordTable(folded.mapInArrow(packed, "word string, ids binary").toArrow())
+
+    def encode(self, docs: DataFrame, columns: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
+        """``columns``, then ids (array, if wanted), n_tokens, ids_sha256 and decoded_sha256."""
+        coded = self._coded(docs, columns, text)
+        folded = coded.select("keep", "coded", F.when(F.size("others") > 0, self.fold(F.col("others"))).otherwise(F.array().cast("array<array<int>>")).alias("others"))
+        return self._digested(folded, columns, with_ids)
+
+    def _coded(self, docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+        """keep (the columns), coded (16-bit ids and marks), others (spelt distinct words)."""
+        kept = docs.select(F.struct(*[F.col(c) for c in columns]).alias("keep"), F.col(text).cast("string").alias("text"))
+        shared = self.spark.sparkContext.broadcast((self.pattern, self.table, np.array(self.bytes, np.int32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pattern, table, codes = shared.value
+            find, known = regex.compile(pattern).findall, table.dictionary().get
+            for batch in batches:
+                coded, others, edges = [], [], [0]
+                for value in batch.column(1):
+                    numbers: dict[str, bytes] = {}
+
+                    def mark(word: str, numbers: dict[str, bytes] = numbers) -> bytes:
+                        found = numbers.get(word)
+                        if found is None:
+                            found = numbers[word] = np.array([MARK, *divmod(len(numbers), MARK)], "<u2").tobytes()
+                        return found
+
+                    coded.append(b"".join([known(w) or mark(w) for w in find(value.as_py() or "")]))
+                    others += [w.encode() for w in numbers]
+                    edges.append(len(others))
+                sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))]).astype(np.int32)
+                spelt = pa.ListArray.from_arrays(pa.array(sizes), pa.array(codes[np.frombuffer(b"".join(others), np.uint8)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spelt)], names=["keep", "coded", "others"])
+
+        return kept.mapInArrow(run, f"keep {kept.schema['keep'].dataType.simpleString()}, coded binary, others array<array<int>>")
+
+    def _digested(self, folded: DataFrame, columns: list[str], with_ids: bool) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast(np.array(self.pieces, object))
+        kept = folded.schema["keep"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = shared.value
+            names = np.array([str(i) for i in range(len(pieces))], object)
+            for batch in batches:
+                ids, sizes, hashes, decoded = [], [], [], []
+                others = batch.column(2)
+                words = others.values
+                starts, edges, values = others.offsets.to_pylist(), words.offsets.to_numpy(), words.values.to_numpy().astype("<u2")
+                for coded, lo in zip(batch.column(1), starts, strict=False):
+                    found = merged(np.frombuffer(coded.as_py(), "<u2"), lambda k, lo=lo: values[edges[lo + k] : edges[lo + k + 1]])
+                    sizes.append(len(found))
+                    hashes.append(hashlib.sha256(" ".join(names.take(found).tolist()).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(decode(found, pieces)).hexdigest())
+                    if with_ids:
+                        ids.append(found.astype(np.int32))
+                made = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["keep", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        out = folded.mapInArrow(run, f"keep {kept}, {'ids array<int>, ' if with_ids else ''}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        return out.select(*[F.col("keep").getField(c).alias(c) for c in columns], *out.columns[1:])
+
+
+def merged(coded: np.ndarray, word: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Ids with the folded words, which ``word`` gives by number, in their marks' places."""
+    marks = np.flatnonzero(coded == MARK)
+    if not len(marks):
+        return coded
+    # The two numbers behind a mark are digits to the base MARK, so neither is a mark.
+    number = coded[marks + 1].astype(np.int64) * MARK + coded[marks + 2]
+    parts, at = [], 0
+    for m, k in zip(marks.tolist(), number.tolist(), strict=True):
+        parts += [coded[at:m], word(k)]
+        at = m + 3
+    return np.concatenate([*parts, coded[at:]])
+
+
+def decode(ids: np.ndarray, pieces: np.ndarray) -> bytes:
+    """The bytes of ids: their pieces, one after the other."""
+    return b"".join(pieces.take(ids).tolist())
+
+
+def encode_documents(docs: DataFrame, columns: list[str], path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+    """``columns`` of each document with its ids and their digests."""
     encoder = Encoder(docs.sparkSession, load_ranks(path), pattern)
     encoder.learn_words(docs)
-    return docs.withColumn("ids_text", encoder.ids_text(F.col("text"))), encoder
-
-
-def digests(encoded: DataFrame, encoder: Encoder, *more: str | Column) -> DataFrame:
-    """doc_id, number and digest of the ids, digest of the decoded bytes; ``more`` may name ids."""
-    none = F.col("ids_text") == ""
-    rows = encoded.withColumn("ids", F.when(none, F.array().cast("array<int>")).otherwise(F.split("ids_text", " ", -1).cast("array<int>")))
-    return rows.select(
-        "doc_id",
-        *more,
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(encoder.decoded(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    return encoder.encode(docs, columns, with_ids=with_ids)
 
 
 def op9_byte_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded, encoder = encode_documents(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return digests(encoded, encoder)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode_documents(docs, ["doc_id"], tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)

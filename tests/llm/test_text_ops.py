@@ -230,9 +230,20 @@ def test_bpe_is_the_library_s(spark, encoding, tmp_path):
         assert out[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_two_place_table_finds_all_and_nothing_else(spark):
-    entries = {f"k{i}é": str(i) for i in range(500)}
-    made = bpe.Table(entries, "int")
-    rows = spark.createDataFrame([(k,) for k in [*entries, "k", "k500é", "x"]], "k string")
-    got = {r.k: r.v for r in rows.select("k", made.bound(lambda get: get(bpe.F.col("k"), bpe.F.lit(-1))).alias("v")).collect()}
-    assert got == {k: int(v) for k, v in entries.items()} | {"k": -1, "k500é": -1, "x": -1}
+def test_pair_table_finds_all_and_nothing_else(spark):
+    pairs = {(a, (a * 7919 + k) % 50_000): a + k for a in range(200) for k in range(5)}
+    made = bpe.PairTable(pairs)
+    others = [(0, 49_999), (50_000, 3), (199, 199)]
+    rows = spark.createDataFrame([*pairs, *others], "a int, b int")
+    got = {(r.a, r.b): r.v for r in rows.select("a", "b", made.bound(lambda rank: rank(bpe.F.col("a"), bpe.F.col("b"))).alias("v")).collect()}
+    assert got == pairs | {p: bpe.NONE for p in others if p not in pairs}
+
+
+def test_bpe_without_a_table_and_with_ids(spark, encoding):
+    rows = awkward_rows(n=6)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    encoder = bpe.Encoder(spark, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    out = encoder.encode(docs, ["doc_id", "row"]).collect()
+    assert sorted(((r.doc_id, r.ids) for r in out), key=str) == sorted(((r[0], encoding.encode_ordinary(r[1] or "")) for r in rows), key=str)
+    assert {r.row for r in out} == {"r"}
+    assert encoder.encode(docs.limit(0), ["doc_id"]).count() == 0
