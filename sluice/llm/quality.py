@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP_RE, WORD_RE, let, present, words
+from .common import GAP_RE, WORD_RE, let, present, small, words, written
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "[#*$%&|<>]"
@@ -91,7 +91,8 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, source, measures, base_failed, host_rate and kept; one row a document."""
     made = measures(F.col("text"))
     rows = docs.select("doc_id", "source", *[c.alias(k) for k, c in made.items()]).withColumn("base_failed", base_failed())
-    return with_verdicts(rows, host_limit)
+    # Written because it is read twice, for the hosts and for the verdicts; it holds no text.
+    return with_verdicts(written(rows, "measures"), host_limit)
 
 
 def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -104,8 +105,9 @@ def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame
 
 def with_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     hosts = host_rates(rows, "source", "base_failed")
-    # A window over the host would bring a hot host to one task; the verdicts are joined instead.
-    hosts = hosts.select(F.col("source").alias("_host"), F.col("shrunk_rate").alias("host_rate"))
+    # A window over the host would bring a hot host to one task. The verdicts are joined instead, without
+    # moving the documents if the hosts, counted, are few enough.
+    hosts = small(written(hosts.select(F.col("source").alias("_host"), F.col("shrunk_rate").alias("host_rate")), "hosts"), 128)
     joined = rows.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
 
