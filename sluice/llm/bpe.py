@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding; the merges are a fold of Spark's higher-order functions.
 
-1. Words. A text is split into words by the tokenizer's pattern, and all documents' words are
-   counted. The most frequent (those that occur twice or more, ``TABLE_WORDS`` at most, of
-   ``TABLE_CHARS`` characters at most) are folded first and become a table that is broadcast.
+1. Words. A text is split into words by the tokenizer's pattern. Words are counted in one of
+   ``TABLE_SHARE`` texts, chosen by hash; the most frequent (those that occur twice or more,
+   ``TABLE_WORDS`` at most, of ``TABLE_CHARS`` characters at most) are folded first and become a table
+   that is broadcast. It is a cache: all words of all texts are encoded, in it or not.
 2. Coding. A document becomes the ids of its words from the table, with a mark in place of any other
    word, and the byte arrays of its distinct other words.
 3. Fold. Each such byte array starts as the ids of its bytes. The fold merges the neighbours whose
@@ -36,13 +37,15 @@ from pyspark.sql import functions as F
 from .common import let, written
 
 NONE = 1 << 30
-TABLE_WORDS, TABLE_CHARS = 400_000, 40
+TABLE_WORDS, TABLE_CHARS, TABLE_SHARE = 300_000, 40, 4
 #: Distinct words that a worker counts before it hands them on.
 HELD = 200_000
 #: Stands before the two digits of a word's number; no id is as great.
 MARK = 0xFFFF
+#: Documents that a worker codes or decodes at once, whatever the size of the batches that it is given.
+SLICE = 512
 #: Entries for each key of a two-place table; under half full, places can be found for all.
-ROOM = 2.4
+ROOM = 2.1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +54,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 class PairTable:
     """A literal map from two ids to the id that they merge to: a pair is at one of two places."""
 
@@ -181,7 +190,8 @@ class Encoder:
             if counts:
                 yield flush()
 
-        texts = docs.select(F.col(text).cast("string").alias("text"))
+        value = F.col(text).cast("string")
+        texts = docs.select(value.alias("text")).filter(F.pmod(F.xxhash64(value), F.lit(TABLE_SHARE)) == 0)
         counted = texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 32).cast("int")), "words")
         # A histogram of counts, 32 bins to a doubling, tells down to which count the table has room.
@@ -207,6 +217,7 @@ class Encoder:
 
         # TABLE_WORDS rows at most, about 20 bytes each.
         self.table = WordTable(folded.mapInArrow(packed, "word string, ids binary").toArrow())
+        pa.default_memory_pool().release_unused()
 
     def encode(self, docs: DataFrame, columns: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
         """``columns``, then ids (array, if wanted), n_tokens, ids_sha256 and decoded_sha256."""
@@ -222,7 +233,7 @@ class Encoder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pattern, table, codes = shared.value
             find, known = regex.compile(pattern).findall, table.dictionary().get
-            for batch in batches:
+            for batch in sliced(batches):
                 coded, others, edges = [], [], [0]
                 for value in batch.column(1):
                     numbers: dict[str, bytes] = {}
@@ -249,7 +260,7 @@ class Encoder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = shared.value
             names = np.array([str(i) for i in range(len(pieces))], object)
-            for batch in batches:
+            for batch in sliced(batches):
                 ids, sizes, hashes, decoded = [], [], [], []
                 others = batch.column(2)
                 words = others.values
