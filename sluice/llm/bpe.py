@@ -136,6 +136,10 @@ def _folded(parts: Column, rank: Callable[[Column, Column], Column]) -> Column:
     return let(parts, start)
 
 
+#: Characters of a plan's text that are kept.
+PLAN_TEXT = 100_000
+
+
 class WordTable:
     """Words and their 16-bit ids, as an Arrow table; workers make a dictionary of it once."""
 
@@ -159,6 +163,9 @@ class Encoder:
         if max(ranks.values()) >= MARK:
             raise ValueError("ids have to fit in 16 bits")
         self.spark, self.pattern = spark, pattern
+        # The rank map is part of the plan, and so of every text that is made of it for logs and listeners.
+        if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("bB")) > PLAN_TEXT:
+            spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
         get = ranks.get
         splits = (((get(t[:i]), get(t[i:])), r) for t, r in ranks.items() for i in range(1, len(t)))
         self.pairs = PairTable({pair: r for pair, r in splits if None not in pair})
