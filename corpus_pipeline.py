@@ -6,7 +6,8 @@ again as the next stage's docs. All but the last return the columns of documents
 1. quality: documents that fail the rules, or whose host does, go.
 2. line_dedup: lines that an earlier document or line has, within one edit, go; a document that loses
    every line goes.
-3. near_dedup: one document of each group of near-duplicates stays.
+3. near_dedup: one document of each group stays whose five-word shingles have a Jaccard similarity of
+   0.8 or more.
 4. mixing: words are taken from each source by its target weight, in blocks; a document comes once,
    twice or in part.
 5. encode: byte-level BPE ids of each text, with digests of the ids and of what they decode to.
@@ -22,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, line_dedup, mixing, quality, simhash
+from sluice.llm import bpe, line_dedup, mixing, near_sets, quality
 from sluice.llm.common import dropped, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,7 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_sets.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,7 +169,12 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORD
 
     Rows of one id and text are told apart by nothing; one of them stays.
     """
-    groups = written(near_groups(docs, radius, width), "groups")
+    return one_of_groups(docs, near_groups(docs, radius, width))
+
+
+def one_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``groups``, which has (doc_id, tie, root) of every row."""
+    groups = written(groups, "groups")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
     keys = groups.groupBy("doc_id", "tie", "root").agg(F.count(F.lit(1)).alias("copies"))
     first = groups.groupBy("root").agg(F.min(place).alias("first")).select(F.col("root").alias("_root"), "first")
