@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
 
-1. quality: documents that fail the rules, or whose host does, go.
+1. quality: documents that fail the full rules, or whose host does, go.
 2. line_dedup: lines that an earlier document or line has, within one edit, go; a document that loses
    every line goes.
 3. near_dedup: one document of each group stays whose five-word shingles have a Jaccard similarity of
@@ -30,7 +30,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.kept_documents(docs)
+    return quality.kept_documents(docs, full=True)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

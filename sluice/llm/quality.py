@@ -2,8 +2,9 @@
 
 Each document is measured and held against rules. Failures are added up by host (``source``; of a
 page, its domain), the hosts' failure rates are shrunk towards the corpus by a beta prior whose two
-parameters are fitted to all hosts by moments, and a document is kept if it passes the base rules
-and its host's shrunk rate is not above ``host_limit``.
+parameters are fitted to all hosts by moments, and a document is kept if it passes the rules and its
+host's shrunk rate is not above ``host_limit``. The rules are the base rules (few words, repeated
+words), as op7's SQL has them, or, with ``full``, also those on symbols, repeated lines and word length.
 
 Defined results: null text has no words and fails; a null host is a group of its own; an empty
 table gives no rows. Repeated rows count as often as they stand there.
@@ -18,6 +19,8 @@ from .common import GAP_RE, WORD_RE, let, present, small, words, written
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "[#*$%&|<>]"
+#: Limits of the full rules: symbols and twice-held lines in a hundred words or lines, mean characters of a word.
+SYMBOL_PERCENT, DUP_LINE_PERCENT, LEAST_MEAN, MOST_MEAN = 10, 30, 3, 10
 #: A host is rejected if its shrunk share of failing documents is above this.
 HOST_LIMIT = 0.6
 
@@ -55,6 +58,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_words": F.size(words(text)).cast("bigint"),
         "word_chars": F.char_length(F.regexp_replace(text, GAP_RE, "")).cast("bigint"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint"),
+        "n_lines": F.size(lines).cast("bigint"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
         "n_repeat_words": let(hashes, repeated_words),
     }
@@ -64,6 +68,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
+def full_failed() -> Column:
+    """The base rules and those on symbols, repeated lines and mean word length; a document without words fails."""
+    n = F.col("n_words")
+    odd = (F.col("word_chars") < LEAST_MEAN * n) | (F.col("word_chars") > MOST_MEAN * n)
+    return base_failed() | (100 * F.col("n_symbols") > SYMBOL_PERCENT * n) | (100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines")) | odd
+
+
 def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate); the prior's mean and strength come from all hosts.
 
@@ -87,29 +98,34 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
     return by_host.crossJoin(prior).select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"))
 
 
-def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """doc_id, source, measures, base_failed, host_rate and kept; one row a document."""
+def judge(docs: DataFrame, host_limit: float = HOST_LIMIT, full: bool = False) -> DataFrame:
+    """doc_id, source, measures, base_failed, host_rate and kept; one row a document.
+
+    ``full`` says that hosts and documents are judged by the full rules, which stand in ``failed``.
+    """
     made = measures(F.col("text"))
     rows = docs.select("doc_id", "source", *[c.alias(k) for k, c in made.items()]).withColumn("base_failed", base_failed())
+    rows = rows.withColumn("failed", full_failed()) if full else rows
     # Written because it is read twice, for the hosts and for the verdicts; it holds no text.
-    return with_verdicts(written(rows, "measures"), host_limit)
+    return with_verdicts(written(rows, "measures"), host_limit, "failed" if full else "base_failed")
 
 
-def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT, full: bool = False) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     made = measures(F.col("text"))
-    rows = docs.select(F.struct("*").alias("row"), "source", made["n_words"].alias("n_words"), made["n_repeat_words"].alias("n_repeat_words"))
-    rows = rows.withColumn("base_failed", base_failed()).select("row", "source", "base_failed")
-    return with_verdicts(rows, host_limit).filter("kept").select("row.*")
+    needed = made if full else {k: made[k] for k in ("n_words", "n_repeat_words")}
+    rows = docs.select(F.struct("*").alias("row"), "source", *[c.alias(k) for k, c in needed.items()])
+    rows = rows.withColumn("failed", full_failed() if full else base_failed()).select("row", "source", "failed")
+    return with_verdicts(rows, host_limit, "failed").filter("kept").select("row.*")
 
 
-def with_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    hosts = host_rates(rows, "source", "base_failed")
+def with_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT, failed: str = "base_failed") -> DataFrame:
+    hosts = host_rates(rows, "source", failed)
     # A window over the host would bring a hot host to one task. The verdicts are joined instead, without
     # moving the documents if the hosts, counted, are few enough.
     hosts = small(written(hosts.select(F.col("source").alias("_host"), F.col("shrunk_rate").alias("host_rate")), "hosts"), 128)
     joined = rows.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
+    return joined.withColumn("kept", ~F.col(failed) & (F.col("host_rate") <= host_limit))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
