@@ -277,6 +277,17 @@ def window_word_count_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.counts_so_far(rows.unionByName(last)).filter("word is not null")
 
 
+@query(_WORDS + """, grid AS (
+    SELECT wins.win, words.word FROM (SELECT DISTINCT win FROM counts) wins, (SELECT word, min(win) AS first FROM counts GROUP BY word) words WHERE wins.win >= words.first
+)
+SELECT g.win, g.word, CAST(sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.word ORDER BY g.win) AS BIGINT) AS cnt
+FROM grid g LEFT JOIN counts c ON c.win = g.win AND c.word = g.word
+""")
+def window_word_count_cumulative_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that go on over windows, for every word, as the reference's cumulative reducer keeps them."""
+    return folds.counts_so_far(folds.counts_per_window(_doc_windows(spark, sf_dir)))
+
+
 @query(_WORDS + """
 SELECT win, count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS total_words, CAST(sum(chars) AS BIGINT) AS total_chars,
        round(sum(len(ws)) / count(*), 2) AS avg_words, round(sum(chars) / count(*), 2) AS avg_chars FROM w GROUP BY 1
