@@ -20,7 +20,7 @@ from .common import GAP_RE, WORD_RE, let, present, small, words, written
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "[#*$%&|<>]"
 #: Limits of the full rules: symbols and twice-held lines in a hundred words or lines, mean characters of a word.
-SYMBOL_PERCENT, DUP_LINE_PERCENT, LEAST_MEAN, MOST_MEAN = 10, 30, 3, 10
+SYMBOL_PERCENT, DUP_LINE_PERCENT, LEAST_MEAN, MOST_MEAN = 10, 30, 2, 10
 #: A host is rejected if its shrunk share of failing documents is above this.
 HOST_LIMIT = 0.6
 
