@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding; the merges are a fold of Spark's higher-order functions.
 
-1. Words. A text is split into words by the tokenizer's pattern. Words are counted in one of
-   ``TABLE_SHARE`` texts, chosen by hash; the most frequent (those that occur twice or more,
-   ``TABLE_WORDS`` at most, of ``TABLE_CHARS`` characters at most) are folded first and become a table
-   that is broadcast. It is a cache: all words of all texts are encoded, in it or not.
+1. Words. A text is split into words by the tokenizer's pattern. The words of all texts are counted;
+   the most frequent (those that occur twice or more, ``TABLE_WORDS`` at most, of ``TABLE_CHARS``
+   characters at most) are folded first and become a table that is broadcast. It is a cache: all
+   words of all texts are encoded, in it or not.
 2. Coding. A document becomes the ids of its words from the table, with a mark in place of any other
    word, and the byte arrays of its distinct other words.
 3. Fold. Each such byte array starts as the ids of its bytes. The fold merges the neighbours whose
@@ -12,38 +12,43 @@
    array, so a lookup reads two entries at most and not the 108 000 of a map column.
 4. The folded words take the marks' places. Decoding joins the pieces of the ids as bytes.
 
-The table decides how often a fold runs, never what it gives. Frequent words are looked up and ids
-hashed in Arrow batches: as columns of higher-order functions, which are interpreted, that took
-several times the seconds (README).
+The table decides how often a fold runs, never what it gives. The fold looks at all of a word for
+each merge, so a word of more than ``LONG_BYTES`` bytes without a break is merged from a heap instead,
+in n log n: the same merges in the same order. Frequent words are looked up and ids hashed in Arrow
+batches: as columns of higher-order functions, which are interpreted, that took several times the
+seconds (README).
 
 Defined results: null and empty texts have no ids and decode to nothing (the hash of an empty
-string). Repeated rows give repeated rows; an empty table gives none. Columns that are asked for pass
-unread, whatever their names. A single word of n bytes without any break takes time in n squared.
+string). Repeated rows give repeated rows; an empty table gives none. Very long texts are coded in
+pieces. Columns that are asked for pass unread, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import dropped, let, written
+from .splitting import splitter
 
 NONE = 1 << 30
-TABLE_WORDS, TABLE_CHARS, TABLE_SHARE = 300_000, 40, 4
+TABLE_WORDS, TABLE_CHARS, LONG_BYTES = 300_000, 40, 256
 #: Distinct words that a worker counts before it hands them on.
 HELD = 200_000
 #: Stands before the two digits of a word's number; no id is as great.
 MARK = 0xFFFF
-#: Documents that a worker codes or decodes at once, whatever the size of the batches that it is given.
-SLICE = 512
+#: Documents that a worker codes at once, and bytes of codes that it digests at once, whatever the
+#: size of the batches that it is given; one document is never divided.
+SLICE, DIGEST_BYTES = 512, 1 << 21
 #: Entries for each key of a two-place table; under half full, places can be found for all.
 ROOM = 2.1
 
@@ -60,6 +65,68 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def weighed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices with about ``DIGEST_BYTES`` in a column of bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DIGEST_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` with these starts and sizes, one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat.take(np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0))
+
+
+class Strings:
+    """Byte strings by number, as one array."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return gathered(self.flat, self.starts.take(ids), self.sizes.take(ids)).tobytes()
+
+
+def heap_merged(word: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
+    """The ids of a word by the same merges as the fold's: always the least rank, the first of equals."""
+    n = len(word)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(a: int) -> None:
+        if 0 <= a and ends[a] < n:
+            to = ends[ends[a]]
+            found = rank(word[a:to])
+            if found is not None:
+                heapq.heappush(heap, (found, a, to))
+
+    for a in range(n):
+        offer(a)
+    while heap:
+        _, a, to = heapq.heappop(heap)
+        mid = ends[a]
+        # Stale if either part has been merged since: a part that is gone has no end.
+        if not mid or mid >= n or ends[mid] != to:
+            continue
+        ends[a], ends[mid] = to, 0
+        if to < n:
+            before[to] = a
+        offer(before[a])
+        offer(a)
+    ids, a = [], 0
+    while a < n:
+        ids.append(rank(word[a : ends[a]]))
+        a = ends[a]
+    return ids
+
+
 class PairTable:
     """A literal map from two ids to the id that they merge to: a pair is at one of two places."""
 
@@ -169,6 +236,7 @@ class Encoder:
         get = ranks.get
         splits = (((get(t[:i]), get(t[i:])), r) for t, r in ranks.items() for i in range(1, len(t)))
         self.pairs = PairTable({pair: r for pair, r in splits if None not in pair})
+        gc.collect()
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         by_rank = {r: t for t, r in ranks.items()}
         self.pieces = [by_rank.get(r, b"") for r in range(max(by_rank) + 1)]
@@ -179,26 +247,25 @@ class Encoder:
         return self.pairs.bound(lambda rank: F.transform(words, lambda w: _folded(w, rank)))
 
     def learn_words(self, docs: DataFrame, text: str = "text") -> None:
-        split, codes = self.pattern, self.bytes
+        pattern, codes = self.pattern, self.bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, counts = regex.compile(split).findall, Counter()
+            split, counts = splitter(pattern), Counter()
 
             def flush() -> pa.RecordBatch:
                 short = {w: n for w, n in counts.items() if len(w) <= TABLE_CHARS}
                 counts.clear()
                 return pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], names=["word", "n"])
 
-            for batch in batches:
-                for value in batch.column(0):
-                    counts.update(find(value.as_py() or ""))
+            for batch in sliced(batches):
+                for words in split([t.as_py() or "" for t in batch.column(0)]):
+                    counts.update(words)
                     if len(counts) > HELD:
                         yield flush()
             if counts:
                 yield flush()
 
-        value = F.col(text).cast("string")
-        texts = docs.select(value.alias("text")).filter(F.pmod(F.xxhash64(value), F.lit(TABLE_SHARE)) == 0)
+        texts = docs.select(F.col(text).cast("string").alias("text"))
         counted = texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 32).cast("int")), "words")
         # A histogram of counts, 32 bins to a doubling, tells down to which count the table has room.
@@ -224,6 +291,7 @@ class Encoder:
 
         # TABLE_WORDS rows at most, about 20 bytes each.
         self.table = WordTable(folded.mapInArrow(packed, "word string, ids binary").toArrow())
+        dropped(counted)
         pa.default_memory_pool().release_unused()
 
     def encode(self, docs: DataFrame, columns: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -235,24 +303,38 @@ class Encoder:
     def _coded(self, docs: DataFrame, columns: list[str], text: str) -> DataFrame:
         """keep (the columns), coded (16-bit ids and marks), others (spelt distinct words)."""
         kept = docs.select(F.struct(*[F.col(c) for c in columns]).alias("keep"), F.col(text).cast("string").alias("text"))
-        shared = self.spark.sparkContext.broadcast((self.pattern, self.table, np.array(self.bytes, np.int32)))
+        shared = self.spark.sparkContext.broadcast((self.pattern, self.table, np.array(self.bytes, np.int32), self.pieces))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pattern, table, codes = shared.value
-            find, known = regex.compile(pattern).findall, table.dictionary().get
-            for batch in sliced(batches):
-                coded, others, edges = [], [], [0]
-                for value in batch.column(1):
-                    numbers: dict[str, bytes] = {}
+            pattern, table, codes, pieces = shared.value
+            split, known = splitter(pattern), table.dictionary().get
+            ranks: dict[bytes, int] = {}
 
-                    def mark(word: str, numbers: dict[str, bytes] = numbers) -> bytes:
-                        found = numbers.get(word)
-                        if found is None:
-                            found = numbers[word] = np.array([MARK, *divmod(len(numbers), MARK)], "<u2").tobytes()
-                        return found
+            def long(word: bytes) -> bytes:
+                if not ranks:
+                    ranks.update((p, r) for r, p in enumerate(pieces) if p)
+                return np.array(heap_merged(word, ranks.get), "<u2").tobytes()
 
-                    coded.append(b"".join([known(w) or mark(w) for w in find(value.as_py() or "")]))
-                    others += [w.encode() for w in numbers]
+            for batch in sliced(batches):
+                coded, others, edges = [], [], [0]
+                for words in split([t.as_py() or "" for t in batch.column(1)]):
+                    found = list(map(known, words))
+                    if None in found:
+                        numbers: dict[str, bytes] = {}
+                        for i, made in enumerate(found):
+                            if made is None:
+                                word = words[i]
+                                made = numbers.get(word)
+                                if made is None:
+                                    spelt = word.encode()
+                                    if len(spelt) > LONG_BYTES:
+                                        made = long(spelt)
+                                    else:
+                                        made = np.array([MARK, *divmod(len(others) - edges[-1], MARK)], "<u2").tobytes()
+                                        others.append(spelt)
+                                    numbers[word] = made
+                                found[i] = made
+                    coded.append(b"".join(found))
                     edges.append(len(others))
                 sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))]).astype(np.int32)
                 spelt = pa.ListArray.from_arrays(pa.array(sizes), pa.array(codes[np.frombuffer(b"".join(others), np.uint8)]))
@@ -261,48 +343,49 @@ class Encoder:
         return kept.mapInArrow(run, f"keep {kept.schema['keep'].dataType.simpleString()}, coded binary, others array<array<int>>")
 
     def _digested(self, folded: DataFrame, columns: list[str], with_ids: bool) -> DataFrame:
-        shared = self.spark.sparkContext.broadcast(np.array(self.pieces, object))
+        shared = self.spark.sparkContext.broadcast(self.pieces)
         kept = folded.schema["keep"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = shared.value
-            names = np.array([str(i) for i in range(len(pieces))], object)
-            for batch in sliced(batches):
-                ids, sizes, hashes, decoded = [], [], [], []
-                others = batch.column(2)
-                words = others.values
-                starts, edges, values = others.offsets.to_pylist(), words.offsets.to_numpy(), words.values.to_numpy().astype("<u2")
-                for coded, lo in zip(batch.column(1), starts, strict=False):
-                    found = merged(np.frombuffer(coded.as_py(), "<u2"), lambda k, lo=lo: values[edges[lo + k] : edges[lo + k + 1]])
-                    sizes.append(len(found))
-                    hashes.append(hashlib.sha256(" ".join(names.take(found).tolist()).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(decode(found, pieces)).hexdigest())
-                    if with_ids:
-                        ids.append(found.astype(np.int32))
-                made = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["keep", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+            pieces = Strings(shared.value)
+            names = Strings([b"%d " % i for i in range(len(shared.value))])
+            for batch in weighed(batches, 1):
+                ids, ends = merged(batch.column(1), batch.column(2))
+                cuts = [0, *ends.tolist()]
+                texts, spelt = pieces.joined(ids), names.joined(ids)
+                # Where each document's bytes end: at the sum of its ids' lengths.
+                text_cuts, name_cuts = ([0, *np.append(0, np.cumsum(of.sizes.take(ids)))[ends].tolist()] for of in (pieces, names))
+                hashes = [hashlib.sha256(spelt[a : max(a, b - 1)]).hexdigest() for a, b in zip(name_cuts[:-1], name_cuts[1:], strict=True)]
+                decoded = [hashlib.sha256(texts[a:b]).hexdigest() for a, b in zip(text_cuts[:-1], text_cuts[1:], strict=True)]
+                made = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(np.diff(cuts), pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["keep", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
         out = folded.mapInArrow(run, f"keep {kept}, {'ids array<int>, ' if with_ids else ''}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
         return out.select(*[F.col("keep").getField(c).alias(c) for c in columns], *out.columns[1:])
 
 
-def merged(coded: np.ndarray, word: Callable[[int], np.ndarray]) -> np.ndarray:
-    """Ids with the folded words, which ``word`` gives by number, in their marks' places."""
-    marks = np.flatnonzero(coded == MARK)
-    if not len(marks):
-        return coded
-    # The two numbers behind a mark are digits to the base MARK, so neither is a mark.
-    number = coded[marks + 1].astype(np.int64) * MARK + coded[marks + 2]
-    parts, at = [], 0
-    for m, k in zip(marks.tolist(), number.tolist(), strict=True):
-        parts += [coded[at:m], word(k)]
-        at = m + 3
-    return np.concatenate([*parts, coded[at:]])
+def _content(column: pa.Array, edges: np.ndarray, kind: str) -> np.ndarray:
+    """The values between the first and the last of a column's edges."""
+    return np.frombuffer(column.buffers()[2], kind)[edges[0] // np.dtype(kind).itemsize : edges[-1] // np.dtype(kind).itemsize]
 
 
-def decode(ids: np.ndarray, pieces: np.ndarray) -> bytes:
-    """The bytes of ids: their pieces, one after the other."""
-    return b"".join(pieces.take(ids).tolist())
+def merged(coded: pa.BinaryArray, others: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of documents, one behind the other, with folded words in their marks' places; and where each one's end."""
+    edges = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset :][: len(coded) + 1]
+    codes = _content(coded, edges, "<u2") if edges[-1] > edges[0] else np.zeros(0, "<u2")
+    ends = (edges[1:] - edges[0]) // 2
+    words = others.values
+    values, word_edges = words.values.to_numpy().astype("<u2"), words.offsets.to_numpy().astype(np.int64)
+    marks = np.flatnonzero(codes == MARK)
+    if not len(marks):
+        return codes, ends
+    # The two numbers behind a mark are digits to the base MARK, so neither is a mark.
+    owner = np.searchsorted(ends, marks, "right")
+    word = others.offsets.to_numpy().astype(np.int64)[owner] + codes[marks + 1].astype(np.int64) * MARK + codes[marks + 2]
+    starts, sizes = np.arange(len(codes)), np.ones(len(codes), np.int64)
+    starts[marks], sizes[marks] = len(codes) + word_edges[word], word_edges[word + 1] - word_edges[word]
+    sizes[marks + 1] = sizes[marks + 2] = 0
+    return gathered(np.concatenate([codes, values]), starts, sizes), np.append(0, np.cumsum(sizes))[ends]
 
 
 def encode_documents(docs: DataFrame, columns: list[str], path: str, pattern: str, with_ids: bool = True) -> DataFrame:

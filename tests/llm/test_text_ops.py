@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
-from sluice.llm import bpe, gru, lm_score, mixing, quality, toxicity
+from sluice.llm import bpe, gru, lm_score, mixing, quality, splitting, toxicity
 from tests.llm.cases import SCHEMA, awkward, awkward_rows, folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,6 +241,39 @@ def test_pair_table_finds_all_and_nothing_else(spark):
     assert got == pairs | {p: bpe.NONE for p in others if p not in pairs}
 
 
+def test_long_words_without_a_break_end_soon(spark, encoding, tmp_path):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("etaoin", k=100_000)), "a" * 100_000, "=" * 3000, "é" * 500, "b" * bpe.LONG_BYTES, "b" * (bpe.LONG_BYTES + 1)]
+    docs = spark.createDataFrame([(i, t, None, None, 1, "r", 1, 2, "t", "h") for i, t in enumerate(texts)], SCHEMA)
+    began = time.monotonic()
+    out = {r.doc_id: r for r in bpe.op9_byte_bpe(spark, folder(spark, tmp_path, docs)).collect()}
+    assert time.monotonic() - began < 60
+    for i, t in enumerate(texts):
+        ids = encoding.encode_ordinary(t)
+        assert (out[i].n_tokens, out[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_heap_merges_as_the_library_does(encoding):
+    rng = random.Random(2)
+    rank = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")).get
+    for k in range(400):
+        word = "".join(rng.choices(["ab", "etaoinshr", "zé𝔘", "aaab"][k % 4], k=rng.randint(1, 80)))
+        assert bpe.heap_merged(word.encode(), rank) == encoding.encode_ordinary(word), word
+
+
+@pytest.mark.parametrize("chars", [splitting.SLICE_CHARS, 50])
+def test_words_are_the_pattern_s(monkeypatch, chars):
+    assert splitting.PATTERN == public_tokenizers.PATTERN
+    monkeypatch.setattr(splitting, "SLICE_CHARS", chars)
+    rng = random.Random(1)
+    parts = [*"abz'  '\n\t .!19é½٣_srevmtdl", "\x1c", "\x85", "\xa0", "\u200b", "\u2028", "\u3000", "'re", "'s", "'ll", "😀", "\u0301", "\x00", "\x01", "\x02", "\x0e", "foo bar"]
+    split, find = splitting.splitter(splitting.PATTERN), regex.compile(splitting.PATTERN).findall
+    for _ in range(600):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(rng.randint(0, 8))]
+        assert split(texts) == [find(t) for t in texts]
+    assert splitting.splitter(r"\S+")(["a b", ""]) == [["a", "b"], []]
+
+
 def test_bpe_without_a_table_and_with_ids(spark, encoding):
     rows = awkward_rows(n=6)
     docs = spark.createDataFrame(rows, SCHEMA)
