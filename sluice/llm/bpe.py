@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding; the merges are a fold of Spark's higher-order functions.
 
 1. Words. A text is split into words by the tokenizer's pattern. The words of all texts are counted;
-   the most frequent (those that occur twice or more, ``TABLE_WORDS`` at most, of ``TABLE_CHARS``
-   characters at most) are folded first and become a table that is broadcast. It is a cache: all
+   the most frequent (those that occur twice or more, ``TABLE_WORDS`` at most, of ``TABLE_BYTES``
+   bytes at most) are folded first and become a table that is broadcast. It is a cache: all
    words of all texts are encoded, in it or not.
 2. Coding. A document becomes the ids of its words from the table, with a mark in place of any other
    word, and the byte arrays of its distinct other words.
@@ -29,8 +29,8 @@ import base64
 import gc
 import hashlib
 import heapq
-from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, let, written
-from .splitting import splitter
+from .splitting import Hashes, Words, gathered, runs, same, splitter
 
 NONE = 1 << 30
-TABLE_WORDS, TABLE_CHARS, LONG_BYTES = 300_000, 40, 256
-#: Distinct words that a worker counts before it hands them on.
-HELD = 200_000
+TABLE_WORDS, TABLE_BYTES, LONG_BYTES = 1_000_000, 40, 256
+#: Different words that a worker counts before it hands them on.
+HELD = 300_000
 #: Stands before the two digits of a word's number; no id is as great.
 MARK = 0xFFFF
 #: Documents that a worker codes at once, and bytes of codes that it digests at once, whatever the
@@ -68,20 +68,14 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def weighed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Slices with about ``DIGEST_BYTES`` in a column of bytes, one row at least."""
     for batch in batches:
-        ends = np.cumsum(np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]))
-        at = 0
+        _, starts, sizes = _runs(batch.column(column))
+        ends, at = starts + sizes, 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DIGEST_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + DIGEST_BYTES, "right")))
             yield batch.slice(at, to - at)
             at = to
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` with these starts and sizes, one behind the other."""
-    ends = np.cumsum(sizes)
-    return flat.take(np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0))
-
-
 class Strings:
     """Byte strings by number, as one array."""
 
@@ -208,19 +202,143 @@ PLAN_TEXT = 100_000
 
 
 class WordTable:
-    """Words and their 16-bit ids, as an Arrow table; workers make a dictionary of it once."""
+    """Words and their 16-bit ids, found by hash and then compared; about 30 bytes a word."""
 
     def __init__(self, rows: pa.Table | None = None) -> None:
-        self.rows = rows
-        self._found: dict[str, bytes] | None = None
-
-    def __reduce__(self) -> tuple:
-        return WordTable, (self.rows,)
-
-    def dictionary(self) -> dict[str, bytes]:
-        if self._found is None:
-            self._found = dict(zip(self.rows.column(0).to_pylist(), self.rows.column(1).to_pylist(), strict=True)) if self.rows is not None else {}
-        return self._found
+        words, ids = ((c.combine_chunks() for c in rows.columns) if rows is not None else (pa.array([], pa.binary()),) * 2)
+        flat, starts, sizes = _runs(words)
+        keys = Hashes()(flat, starts, sizes)
+        order = np.argsort(keys)
+        self.keys, self.flat, self.starts, self.sizes = keys[order], flat.copy(), starts[order].astype(np.int32), sizes[order].astype(np.int32)
+        flat, starts, sizes = _runs(ids)
+        self.ids, self.at, self.n = flat.copy().view("<u2"), (starts[order] // 2).astype(np.int32), (sizes[order] // 2).astype(np.int32)
+
+    def find(self, words: Words, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Places of the words numbered ``of``, which have these hashes; -1 for words that are not there."""
+        if not len(self.keys) or not len(of):
+            return np.full(len(of), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        near = np.flatnonzero((self.keys[at] == keys) & (self.sizes[at] == words.sizes[of]))
+        equal = near[same(words.flat, words.starts[of[near]], self.flat, self.starts[at[near]].astype(np.int64), words.sizes[of[near]])]
+        found = np.full(len(of), -1)
+        found[equal] = at[equal]
+        return found
+
+
+class Coded(NamedTuple):
+    """Texts as 16-bit ids and marks, where each one's end, and the words that marks stand for."""
+
+    codes: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    sizes: np.ndarray
+    word_ends: np.ndarray
+
+
+class Coder:
+    """What a worker needs to code texts with the table's words."""
+
+    def __init__(self, pattern: str, table: WordTable, pieces: list[bytes]) -> None:
+        self.split, self.table, self.pieces, self.hashes = splitter(pattern), table, pieces, Hashes()
+        self.ranks: dict[bytes, int] = {}
+
+    def long(self, word: bytes) -> np.ndarray:
+        if not self.ranks:
+            self.ranks.update((p, r) for r, p in enumerate(self.pieces) if p)
+        return np.array(heap_merged(word, self.ranks.get), "<u2")
+
+    def distinct(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of different words, a word of each, and the number among these of each word."""
+        keys, first, which = np.unique(self.hashes(words.flat, words.starts, words.sizes), return_index=True, return_inverse=True)
+        # Words that share a hash with another word than themselves, if any, are numbered by themselves.
+        odd = words.sizes != words.sizes[first[which]]
+        even = np.flatnonzero(~odd)
+        odd[even[~same(words.flat, words.starts[even], words.flat, words.starts[first[which[even]]], words.sizes[even])]] = True
+        odd = np.flatnonzero(odd)
+        which[odd] = len(keys) + np.arange(len(odd))
+        return np.concatenate([keys, np.zeros(len(odd), np.uint64)]), np.concatenate([first, odd]), which
+
+    def code(self, texts: list[str], number: int = 0) -> Coded:
+        """Marks are numbered within each text, from ``number`` on."""
+        words = self.split(texts)
+        keys, first, which = self.distinct(words)
+        at = self.table.find(words, keys, first)
+        known = np.flatnonzero(at >= 0)
+        starts, sizes = np.full(len(first), -1), np.zeros(len(first), np.int64)
+        sizes[known] = self.table.n[at[known]]
+        starts[known] = np.cumsum(sizes[known]) - sizes[known]
+        flat = [gathered(self.table.ids, self.table.at[at[known]].astype(np.int64), sizes[known])]
+        room = len(flat[0])
+        for k in np.flatnonzero((at < 0) & (words.sizes[first] > LONG_BYTES)).tolist():
+            a = words.starts[first[k]]
+            flat.append(self.long(words.flat[a : a + words.sizes[first[k]]].tobytes()))
+            starts[k], sizes[k] = room, len(flat[-1])
+            room += len(flat[-1])
+        # One mark for each different word that a text has and the table has not.
+        starts, sizes = starts[which], sizes[which]
+        lacking = np.flatnonzero(starts < 0)
+        texts_of = np.searchsorted(words.cuts, lacking, "right") - 1
+        marks, one, mark = np.unique(texts_of * len(first) + which[lacking], return_index=True, return_inverse=True)
+        word_ends = np.searchsorted(marks, np.arange(1, len(texts) + 1) * len(first))
+        numbers = number + np.arange(len(marks)) - np.append(0, word_ends)[texts_of[one]]
+        flat.append(np.column_stack([np.full(len(marks), MARK), numbers // MARK, numbers % MARK]).astype("<u2").reshape(-1))
+        starts[lacking], sizes[lacking] = room + 3 * mark, 3
+        of = lacking[one]
+        ends = np.append(0, np.cumsum(sizes))[words.cuts[1:]]
+        return Coded(gathered(np.concatenate(flat), starts, sizes), ends, gathered(words.flat, words.starts[of], words.sizes[of]), words.sizes[of], word_ends)
+
+    def code_all(self, texts: list[str]) -> Coded:
+        parts: list[Coded] = []
+        for run, long in runs(texts):
+            if long:
+                of_one: list[Coded] = []
+                for piece in run:
+                    of_one.append(self.code([piece], sum(len(c.sizes) for c in of_one)))
+                joined = [np.concatenate(x) for x in zip(*of_one, strict=True)]
+                parts.append(Coded(joined[0], np.array([len(joined[0])]), joined[2], joined[3], np.array([len(joined[3])])))
+            else:
+                parts.append(self.code(run))
+        shifts = np.cumsum([0, *(len(c.codes) for c in parts)]), np.cumsum([0, *(len(c.sizes) for c in parts)])
+        return Coded(
+            np.concatenate([c.codes for c in parts]), np.concatenate([c.ends + s for c, s in zip(parts, shifts[0], strict=False)]),
+            np.concatenate([c.words for c in parts]), np.concatenate([c.sizes for c in parts]),
+            np.concatenate([c.word_ends + s for c, s in zip(parts, shifts[1], strict=False)]),
+        )
+
+
+class WordCounts:
+    """How often a worker has met each word of ``TABLE_BYTES`` bytes at most; words of equal hashes are counted as one."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, coder: Coder, words: Words) -> None:
+        keys, first, which = coder.distinct(words)
+        short = np.flatnonzero(words.sizes[first] <= TABLE_BYTES)
+        at, sizes = words.starts[first[short]], words.sizes[first[short]]
+        self.parts.append((keys[short], np.bincount(which, minlength=len(first))[short], sizes, gathered(words.flat, at, sizes)))
+        self.held += len(short)
+
+    def full(self) -> bool:
+        """Whether there is enough to be handed on, once what is held has been put together."""
+        if self.held > 4 * HELD:
+            self._together()
+            return self.held > HELD
+        return False
+
+    def _together(self) -> None:
+        keys, times, sizes, flat = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        self.parts = [(found, np.bincount(which, weights=times).astype(np.int64), sizes[first], gathered(flat, starts[first], sizes[first]))]
+        self.held = len(found)
+
+    def taken(self) -> pa.RecordBatch:
+        self._together()
+        _, times, sizes, flat = self.parts[0]
+        self.parts, self.held = [], 0
+        return pa.RecordBatch.from_arrays([_binary(flat, sizes), pa.array(times)], names=["word", "n"])
 
 
 class Encoder:
@@ -250,23 +368,17 @@ class Encoder:
         pattern, codes = self.pattern, self.bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            split, counts = splitter(pattern), Counter()
-
-            def flush() -> pa.RecordBatch:
-                short = {w: n for w, n in counts.items() if len(w) <= TABLE_CHARS}
-                counts.clear()
-                return pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], names=["word", "n"])
-
+            coder, counts = Coder(pattern, WordTable(), []), WordCounts()
             for batch in sliced(batches):
-                for words in split([t.as_py() or "" for t in batch.column(0)]):
-                    counts.update(words)
-                    if len(counts) > HELD:
-                        yield flush()
-            if counts:
-                yield flush()
+                for together, _ in runs([t.as_py() or "" for t in batch.column(0)]):
+                    counts.add(coder, coder.split(together))
+                    if counts.full():
+                        yield counts.taken()
+            if counts.parts:
+                yield counts.taken()
 
         texts = docs.select(F.col(text).cast("string").alias("text"))
-        counted = texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 32).cast("int")), "words")
         # A histogram of counts, 32 bins to a doubling, tells down to which count the table has room.
         least, room = None, TABLE_WORDS
@@ -277,20 +389,22 @@ class Encoder:
         common = counted.filter(F.col("bin") >= least if least is not None else F.lit(False)).select("word")
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spelling = np.array(codes, np.int32)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[codes[b] for b in w.as_py().encode()] for w in batch.column(0)], pa.list_(pa.int32()))], names=["word", "parts"])
+                flat, _, sizes = _runs(batch.column(0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(_edges(sizes), pa.array(spelling[flat]))], names=["word", "parts"])
 
-        spelt = common.repartition(4 * self.spark.sparkContext.defaultParallelism).mapInArrow(spell, "word string, parts array<int>")
+        spelt = common.repartition(4 * self.spark.sparkContext.defaultParallelism).mapInArrow(spell, "word binary, parts array<int>")
         folded = spelt.select("word", F.get(self.fold(F.array("parts")), F.lit(0)).alias("ids"))
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(1)
-                edges, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], names=["word", "ids"])
+                edges = ids.offsets.to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), _binary(ids.values.to_numpy()[edges[0] : edges[-1]].astype("<u2"), 2 * np.diff(edges))], names=["word", "ids"])
 
         # TABLE_WORDS rows at most, about 20 bytes each.
-        self.table = WordTable(folded.mapInArrow(packed, "word string, ids binary").toArrow())
+        self.table = WordTable(folded.mapInArrow(packed, "word binary, ids binary").toArrow())
         dropped(counted)
         pa.default_memory_pool().release_unused()
 
@@ -303,42 +417,17 @@ class Encoder:
     def _coded(self, docs: DataFrame, columns: list[str], text: str) -> DataFrame:
         """keep (the columns), coded (16-bit ids and marks), others (spelt distinct words)."""
         kept = docs.select(F.struct(*[F.col(c) for c in columns]).alias("keep"), F.col(text).cast("string").alias("text"))
-        shared = self.spark.sparkContext.broadcast((self.pattern, self.table, np.array(self.bytes, np.int32), self.pieces))
+        shared = self.spark.sparkContext.broadcast((self.pattern, self.table, self.pieces, np.array(self.bytes, np.int32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pattern, table, codes, pieces = shared.value
-            split, known = splitter(pattern), table.dictionary().get
-            ranks: dict[bytes, int] = {}
-
-            def long(word: bytes) -> bytes:
-                if not ranks:
-                    ranks.update((p, r) for r, p in enumerate(pieces) if p)
-                return np.array(heap_merged(word, ranks.get), "<u2").tobytes()
-
+            *parts, spelling = shared.value
+            coder = Coder(*parts)
             for batch in sliced(batches):
-                coded, others, edges = [], [], [0]
-                for words in split([t.as_py() or "" for t in batch.column(1)]):
-                    found = list(map(known, words))
-                    if None in found:
-                        numbers: dict[str, bytes] = {}
-                        for i, made in enumerate(found):
-                            if made is None:
-                                word = words[i]
-                                made = numbers.get(word)
-                                if made is None:
-                                    spelt = word.encode()
-                                    if len(spelt) > LONG_BYTES:
-                                        made = long(spelt)
-                                    else:
-                                        made = np.array([MARK, *divmod(len(others) - edges[-1], MARK)], "<u2").tobytes()
-                                        others.append(spelt)
-                                    numbers[word] = made
-                                found[i] = made
-                    coded.append(b"".join(found))
-                    edges.append(len(others))
-                sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))]).astype(np.int32)
-                spelt = pa.ListArray.from_arrays(pa.array(sizes), pa.array(codes[np.frombuffer(b"".join(others), np.uint8)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spelt)], names=["keep", "coded", "others"])
+                if batch.num_rows:
+                    made = coder.code_all([t.as_py() or "" for t in batch.column(1)])
+                    spelt = pa.ListArray.from_arrays(_edges(made.sizes), pa.array(spelling[made.words]))
+                    others = pa.ListArray.from_arrays(pa.array(np.append(0, made.word_ends), pa.int32()), spelt)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), _binary(made.codes, 2 * np.diff(made.ends, prepend=0)), others], names=["keep", "coded", "others"])
 
         return kept.mapInArrow(run, f"keep {kept.schema['keep'].dataType.simpleString()}, coded binary, others array<array<int>>")
 
@@ -364,16 +453,29 @@ class Encoder:
         return out.select(*[F.col("keep").getField(c).alias(c) for c in columns], *out.columns[1:])
 
 
-def _content(column: pa.Array, edges: np.ndarray, kind: str) -> np.ndarray:
-    """The values between the first and the last of a column's edges."""
-    return np.frombuffer(column.buffers()[2], kind)[edges[0] // np.dtype(kind).itemsize : edges[-1] // np.dtype(kind).itemsize]
+def _edges(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings of these sizes, cut from an array."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, _edges(sizes).buffers()[1], pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _runs(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column's bytes, and where in them each value starts and how many it has."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return flat, edges[:-1] - edges[0], np.diff(edges)
 
 
 def merged(coded: pa.BinaryArray, others: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of documents, one behind the other, with folded words in their marks' places; and where each one's end."""
-    edges = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset :][: len(coded) + 1]
-    codes = _content(coded, edges, "<u2") if edges[-1] > edges[0] else np.zeros(0, "<u2")
-    ends = (edges[1:] - edges[0]) // 2
+    flat, starts, sizes = _runs(coded)
+    codes, ends = flat.view("<u2"), (starts + sizes) // 2
     words = others.values
     values, word_edges = words.values.to_numpy().astype("<u2"), words.offsets.to_numpy().astype(np.int64)
     marks = np.flatnonzero(codes == MARK)

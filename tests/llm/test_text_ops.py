@@ -261,17 +261,53 @@ def test_heap_merges_as_the_library_does(encoding):
         assert bpe.heap_merged(word.encode(), rank) == encoding.encode_ordinary(word), word
 
 
-@pytest.mark.parametrize("chars", [splitting.SLICE_CHARS, 50])
+@pytest.mark.parametrize("chars", [splitting.RUN_CHARS, 50])
 def test_words_are_the_pattern_s(monkeypatch, chars):
     assert splitting.PATTERN == public_tokenizers.PATTERN
-    monkeypatch.setattr(splitting, "SLICE_CHARS", chars)
+    monkeypatch.setattr(splitting, "RUN_CHARS", chars)
     rng = random.Random(1)
     parts = [*"abz'  '\n\t .!19é½٣_srevmtdl", "\x1c", "\x85", "\xa0", "\u200b", "\u2028", "\u3000", "'re", "'s", "'ll", "😀", "\u0301", "\x00", "\x01", "\x02", "\x0e", "foo bar"]
     split, find = splitting.splitter(splitting.PATTERN), regex.compile(splitting.PATTERN).findall
     for _ in range(600):
         texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(rng.randint(0, 8))]
-        assert split(texts) == [find(t) for t in texts]
-    assert splitting.splitter(r"\S+")(["a b", ""]) == [["a", "b"], []]
+        got = [[w for ws in split(run).strings() for w in ws] if long else split(run).strings() for run, long in splitting.runs(texts)]
+        assert [x for (_, long), g in zip(splitting.runs(texts), got, strict=True) for x in ([g] if long else g)] == [find(t) for t in texts]
+    assert splitting.splitter(r"\S+")(["a b", ""]).strings() == [["a", "b"], []]
+
+
+def test_equal_words_have_equal_hashes_wherever_they_stand():
+    rng = random.Random(4)
+    words = [b"", *(bytes(rng.choices(range(256), k=rng.randint(1, 30))) for _ in range(400))]
+    picked = [rng.randrange(len(words)) for _ in range(5000)]
+    sizes = np.array([len(words[k]) for k in picked])
+    got = splitting.Hashes()(np.frombuffer(b"".join(words[k] for k in picked), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    seen = {}
+    assert all(seen.setdefault(k, h) == h for k, h in zip(picked, got.tolist(), strict=True)) and len(set(seen.values())) == len({words[k] for k in seen})
+
+
+def test_words_that_share_a_hash_stay_apart(monkeypatch, encoding):
+    monkeypatch.setattr(splitting.Hashes, "__call__", lambda self, flat, starts, sizes: sizes.astype(np.uint64) % np.uint64(3))
+    import pyarrow as pa
+
+    ids = lambda w: np.array(encoding.encode_ordinary(w), "<u2").tobytes()
+    rows = pa.table({"word": pa.array([w.encode() for w in (" the", " of", "zebra")], pa.binary()), "ids": pa.array([ids(w) for w in (" the", " of", "zebra")], pa.binary())})
+    pieces = [encoding.decode_single_token_bytes(i) for i in range(50_256)]
+    coder = bpe.Coder(splitting.PATTERN, bpe.WordTable(rows), pieces)
+    texts = ["the of the zebra of a lynx, lynx", "", "zebra the of", "of"]
+    made = coder.code_all(texts)
+    spelt = [made.words.tobytes()[b - n : b] for b, n in zip(np.cumsum(made.sizes).tolist(), made.sizes.tolist(), strict=True)]
+    at = word_at = 0
+    for text, end, word_end in zip(texts, made.ends.tolist(), made.word_ends.tolist(), strict=True):
+        got, k = [], at
+        while k < end:
+            if made.codes[k] == bpe.MARK:
+                got += encoding.encode_ordinary(spelt[word_at + int(made.codes[k + 1]) * bpe.MARK + int(made.codes[k + 2])].decode())
+                k += 3
+            else:
+                got.append(int(made.codes[k]))
+                k += 1
+        assert got == encoding.encode_ordinary(text)
+        at, word_at = end, word_end
 
 
 def test_bpe_without_a_table_and_with_ids(spark, encoding):
