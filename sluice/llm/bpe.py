@@ -41,7 +41,7 @@ from .common import dropped, let, written
 from .splitting import Hashes, Words, gathered, runs, same, splitter
 
 NONE = 1 << 30
-TABLE_WORDS, TABLE_BYTES, LONG_BYTES = 1_000_000, 40, 256
+TABLE_WORDS, TABLE_BYTES, LONG_BYTES = 600_000, 40, 256
 #: Different words that a worker counts before it hands them on.
 HELD = 300_000
 #: Stands before the two digits of a word's number; no id is as great.
@@ -205,13 +205,15 @@ class WordTable:
     """Words and their 16-bit ids, found by hash and then compared; about 30 bytes a word."""
 
     def __init__(self, rows: pa.Table | None = None) -> None:
-        words, ids = ((c.combine_chunks() for c in rows.columns) if rows is not None else (pa.array([], pa.binary()),) * 2)
-        flat, starts, sizes = _runs(words)
-        keys = Hashes()(flat, starts, sizes)
+        """Rows have a word, its hash and its ids."""
+        words, keys, ids = ((c.combine_chunks() for c in rows.columns) if rows is not None else (pa.array([], t) for t in (pa.binary(), pa.int64(), pa.binary())))
+        keys = keys.to_numpy(zero_copy_only=False).view(np.uint64)
         order = np.argsort(keys)
-        self.keys, self.flat, self.starts, self.sizes = keys[order], flat.copy(), starts[order].astype(np.int32), sizes[order].astype(np.int32)
+        self.keys = keys[order]
+        flat, starts, sizes = _runs(words)
+        self.flat, self.starts, self.sizes = flat.copy(), starts[order].astype(np.int32), sizes[order].astype(np.int8)
         flat, starts, sizes = _runs(ids)
-        self.ids, self.at, self.n = flat.copy().view("<u2"), (starts[order] // 2).astype(np.int32), (sizes[order] // 2).astype(np.int32)
+        self.ids, self.at, self.n = flat.copy().view("<u2"), (starts[order] // 2).astype(np.int32), (sizes[order] // 2).astype(np.int8)
 
     def find(self, words: Words, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Places of the words numbered ``of``, which have these hashes; -1 for words that are not there."""
@@ -265,7 +267,7 @@ class Coder:
         at = self.table.find(words, keys, first)
         known = np.flatnonzero(at >= 0)
         starts, sizes = np.full(len(first), -1), np.zeros(len(first), np.int64)
-        sizes[known] = self.table.n[at[known]]
+        sizes[known] = self.table.n[at[known]]  # 40 ids at most
         starts[known] = np.cumsum(sizes[known]) - sizes[known]
         flat = [gathered(self.table.ids, self.table.at[at[known]].astype(np.int64), sizes[known])]
         room = len(flat[0])
@@ -398,13 +400,15 @@ class Encoder:
         folded = spelt.select("word", F.get(self.fold(F.array("parts")), F.lit(0)).alias("ids"))
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
             for batch in batches:
+                keys = hashes(*_runs(batch.column(0))).view(np.int64)
                 ids = batch.column(1)
                 edges = ids.offsets.to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0), _binary(ids.values.to_numpy()[edges[0] : edges[-1]].astype("<u2"), 2 * np.diff(edges))], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), _binary(ids.values.to_numpy()[edges[0] : edges[-1]].astype("<u2"), 2 * np.diff(edges))], names=["word", "key", "ids"])
 
-        # TABLE_WORDS rows at most, about 20 bytes each.
-        self.table = WordTable(folded.mapInArrow(packed, "word binary, ids binary").toArrow())
+        # TABLE_WORDS rows at most, about 28 bytes each.
+        self.table = WordTable(folded.mapInArrow(packed, "word binary, key bigint, ids binary").toArrow())
         dropped(counted)
         pa.default_memory_pool().release_unused()
 
