@@ -1,31 +1,35 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
-A text is cut into windows of about ``WINDOW`` bytes at word ends, half overlapping, all of it. Each
-window is compressed twice: with the ordinary dictionary, and with the toxic dictionary standing
-before the ordinary one. What the second saves over the first, the window's gain, then comes from
-toxic content alone, as chance matches of ordinary text are the same in both. Gains are weighed by
-the log of how much likelier they are in toxic than in ordinary documents; the weights' sum and the
-greatest and mean gains meet a logistic threshold.
+A text is cut, all of it, into windows of whole words of about ``WINDOW`` bytes. Each window is
+compressed twice: with the ordinary dictionary, and with the ordinary dictionary followed by the toxic
+one. What the second saves over the first, the window's gain, then comes from toxic content alone, as
+chance matches of ordinary text are the same in both. Gains are weighed by the log of how much likelier
+they are in toxic than in ordinary documents; the weights' sum, the greatest weights and the number
+of windows meet a logistic threshold.
 
 Toxic documents are ordinary for the most part, so a dictionary of all of their text would be one of
-ordinary text. The toxic dictionary is refined over ``ROUNDS`` rounds: trained on one half of the
-toxic documents, it marks those windows of the other half whose gains ordinary windows hardly ever
-reach (``STAND_OUT``), and the next dictionary is trained on marked windows. Taking turns between
-the halves leaves what many documents share and drops what one document repeats. Weights and
-threshold are calibrated on documents of a third part.
+ordinary text. The toxic dictionary is trained on their text less what ordinary documents have as well:
+a word stays if at least ``LEAST_DOCS`` toxic documents, and a hundredth of them, hold it, and if it is
+``RATIO`` times as common among them as among ordinary ones. Weights and threshold are calibrated on
+documents that no dictionary was trained on.
 
 What is learnt comes from a bounded sample: of each class at most ``SAMPLE_DOCS`` labelled training
-documents, whole texts of at most ``SAMPLE_CHARS`` characters, those with the least hashes of ids.
-Only texts and labels enter; language, source and id are no inputs of a score. The held-out fifth
-(crc32 of the id mod 5 is 0) never trains or calibrates. Scoring covers whole texts of all rows.
+documents, whole texts of at most ``SAMPLE_CHARS`` characters, those with the least hashes of ids. In
+the calibration each class weighs as much as it has labels in the whole table, so the threshold means
+the same whether the sample was cut or not. Only texts and labels enter; language, source and id are
+no inputs of a score. The held-out fifth (crc32 of the id mod 5 is 0) never trains or calibrates.
+Scoring covers whole texts of all rows.
 
 Defined results: null and empty texts have one empty window and no gain and get the score of such;
 without enough labels of both classes every score is the share of toxic labels (0.0 with none). Repeated
-rows score alike; an empty table gives no rows. Extra columns are not read.
+labels count once, the greater one holds; rows without an id are no training rows, and of several texts
+of one id the one with the least hash trains. Repeated rows give repeated rows, very long texts and
+words are windows like any other, an empty table gives none, and other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,31 +39,40 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEVEL = 96, 6
-#: Bytes of the ordinary dictionary, of the first toxic one and of the refined ones.
-ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 65_536, 16_384, 4_096
-ROUNDS = 8
+WINDOW, LEVEL = 40, 3
+#: Bytes of the dictionaries, and of the ordinary text's runs that the first is trained on.
+ORDINARY_BYTES, TOXIC_BYTES, RUN = 65_536, 4_096, 96
+LEAST_DOCS, RATIO = 5, 6.0
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
-#: The share of ordinary windows that a toxic document's window has to stand out from.
-STAND_OUT = 0.995
-#: Gains are told apart up to this many bytes.
-MOST_GAIN = 24
+#: Gains are told apart up to this many bytes; the features are held below these limits.
+MOST_GAIN, MOST_TOTAL, MOST_TOP = 24, 40.0, 15.0
+#: A word of more bytes is cut into pieces of so many.
+LONGEST = 256
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Runs of whole words of about ``size`` bytes, each starting half a run after the one before."""
+def _words(text: str | None) -> list[bytes]:
+    """bytes.lower and bytes.split are ASCII only."""
     ws = (text or "").encode().lower().split()
+    if ws and max(map(len, ws)) > LONGEST:
+        return [w[i : i + LONGEST] for w in ws for i in range(0, len(w), LONGEST)]
+    return ws
+
+
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    """The words in order, each with a space before it, in runs of ``size`` bytes at most or of one word."""
+    ws = _words(text)
     if not ws:
         return [b""]
-    line = b" ".join(ws)
-    if len(line) <= size:
-        return [line]
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    cuts = np.unique(np.searchsorted(starts, np.arange(0, max(1, len(line) - size // 2), size // 2)))
-    cuts = cuts[cuts < len(starts)]
-    stops = np.minimum(np.searchsorted(ends, starts[cuts] + size), len(ends) - 1)
-    return [line[a:b] for a, b in zip(starts[cuts].tolist(), ends[stops].tolist(), strict=True)]
+    line = b" " + b" ".join(ws)
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1).tolist()
+    found, start, last = [], 0, 0
+    for end in ends:
+        if end - start > size and last > start:
+            found.append(line[start:last])
+            start = last
+        last = end
+    found.append(line[start:])
+    return found
 
 
 class Coder:
@@ -86,12 +99,25 @@ class Coder:
         self._open()
 
 
-def _dictionary(samples: list[bytes], size: int, **tuning: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     samples = [w for w in samples if len(w) >= 8]
-    return zstd.train_dictionary(min(size, max(512, sum(map(len, samples)) // 8)), samples, **tuning).as_bytes()
+    return zstd.train_dictionary(min(size, max(256, sum(map(len, samples)) // 4)), samples).as_bytes()
+
+
+def own_words(toxic: list[str], ordinary: list[str]) -> set[bytes]:
+    """Words that toxic documents share and that are ``RATIO`` times as common there as elsewhere."""
+    inside, outside = (Counter(w for t in texts for w in set(_words(t))) for texts in (toxic, ordinary))
+    least = max(LEAST_DOCS, len(toxic) // 100)
+    return {w for w, k in inside.items() if k >= least and k * len(ordinary) >= RATIO * (outside[w] + 1) * len(toxic)}
+
+
+def toxic_samples(texts: list[str], own: set[bytes]) -> list[bytes]:
+    """What is left of texts when only their ``own`` words stay, three words a sample."""
+    kept = ([w for w in _words(t) if w in own] for t in texts)
+    return [b" " + b" ".join(ws[i : i + 3]) for ws in kept for i in range(0, len(ws), 3)]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton's method with a small ridge on standardised features: mean, scale, weights."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
@@ -100,7 +126,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarra
     ridge[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -110,50 +136,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarra
 class Model:
     """Two coders, weights of gains and a threshold; a constant where there is too little to learn."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
-        self.constant = float(toxic.mean()) if len(toxic) else 0.0
+    def __init__(self, texts: list[str], toxic: np.ndarray, totals: tuple[int, int] | None = None) -> None:
+        """``totals`` are the classes' labels in the whole table, of which the texts are a sample."""
+        counts = np.array([(toxic == k).sum() for k in (0, 1)], float)
+        totals = counts if totals is None else np.array(totals, float)
+        self.constant = float(totals[1] / totals.sum()) if totals.sum() else 0.0
         self.coders: tuple[Coder, Coder] | None = None
-        try:
-            self._learn([windows(t) for t in texts], toxic)
-        except zstd.ZstdError:  # too little text for a dictionary
-            self.coders = None
-
-    def _learn(self, parts: list[list[bytes]], toxic: np.ndarray) -> None:
-        # Documents take turns within their class: two halves for dictionaries, a third part to calibrate.
-        turn = np.empty(len(parts), np.int64)
-        for label in (0, 1):
-            at = np.flatnonzero(toxic == label)
-            turn[at] = np.array([0, 1, 2])[np.arange(len(at)) % 3]
-        pick = lambda label, k: [w for i, ws in enumerate(parts) if toxic[i] == label and turn[i] == k for w in ws]
-        rest = turn == 2
-        if len(np.unique(toxic[rest])) < 2:
-            return
-        halves, usual = (pick(1, 0), pick(1, 1)), pick(0, 1)
-        content = _dictionary(pick(0, 0), ORDINARY_BYTES, k=16, d=8)
-        ordinary = Coder(content)
-        found = _dictionary(halves[0], FIRST_BYTES)
-        marked: list[list[bytes]] = [[], []]
-        plain = ordinary.lengths(usual), [ordinary.lengths(h) for h in halves]
-        for k in range(ROUNDS):
-            coder, other = Coder(found + content), (k + 1) % 2
-            limit = np.quantile(plain[0] - coder.lengths(usual), STAND_OUT)
-            gains = plain[1][other] - coder.lengths(halves[other])
-            marked[other] = [w for w, g in zip(halves[other], gains.tolist(), strict=True) if g > limit]
-            # Early rounds mark little and partly chance; only later ones look at both halves' marks.
-            source = marked[0] + marked[1] if k >= ROUNDS // 2 else marked[other]
-            if len(source) < 16:
-                break
-            found = _dictionary(source, TOXIC_BYTES)
-        self.coders = (ordinary, Coder(found + content))
-        gains = [self.gains(parts[i]) for i in np.flatnonzero(rest)]
-        y = toxic[rest].astype(float)
-        counts = np.stack([sum((np.bincount(self._bins(g), minlength=MOST_GAIN + 1) for g, t in zip(gains, y, strict=True) if t == label), np.zeros(MOST_GAIN + 1)) for label in (0.0, 1.0)])
-        # Smoothed over neighbouring gains; a greater gain never weighs less.
-        kernel = np.array([1, 2, 3, 2, 1]) / 9
-        shares = np.stack([np.convolve(np.pad(c, 2, mode="edge"), kernel, "valid") + 1.0 for c in counts])
-        shares /= shares.sum(axis=1, keepdims=True)
+        if counts.min() > 1:
+            share = totals / np.maximum(counts, 1)
+            try:
+                self._learn(texts, toxic, share / (share * counts).sum() * counts.sum())
+            except zstd.ZstdError:  # too little text for a dictionary
+                self.coders = None
+
+    def _learn(self, texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> None:
+        # Of each class every other document trains dictionaries, and the rest calibrate.
+        parts = {(label, k): [texts[i] for i in np.flatnonzero(toxic == label)[k::2]] for label in (0, 1) for k in (0, 1)}
+        content = _dictionary([w for t in parts[0, 0] for w in windows(t, RUN)], ORDINARY_BYTES)
+        found = _dictionary(toxic_samples(parts[1, 0], own_words(parts[1, 0], parts[0, 0])), TOXIC_BYTES)
+        self.coders = (Coder(content), Coder(content + found))
+        gains = [[self.gains(windows(t)) for t in parts[label, 1]] for label in (0, 1)]
+        counts = np.stack([np.bincount(self._bins(np.concatenate(of)), minlength=MOST_GAIN + 1) for of in gains]) + 1.0
+        shares = counts / counts.sum(axis=1, keepdims=True)
+        # A greater gain never weighs less.
         self.weights = np.maximum.accumulate(np.log(shares[1] / shares[0]))
-        self.line = _logistic(np.stack([self.features(g) for g in gains]), y)
+        y = np.repeat([0.0, 1.0], [len(of) for of in gains])
+        self.line = _logistic(np.stack([self.features(g) for of in gains for g in of]), y, np.repeat(weight, [len(of) for of in gains]))
 
     @staticmethod
     def _bins(gains: np.ndarray) -> np.ndarray:
@@ -164,9 +172,8 @@ class Model:
 
     def features(self, gains: np.ndarray) -> np.ndarray:
         weights = self.weights[self._bins(gains)]
-        top = np.sort(gains)[::-1][:3]
         total = weights.sum()
-        return np.array([np.clip(total, -4, 8), np.clip(total, -10, 30), min(weights.max(), 5.0), top.sum() / 3.0, gains.mean(), np.log1p(len(gains))])
+        return np.array([np.clip(total, -4, 8), np.clip(total, -MOST_TOTAL, MOST_TOTAL), min(np.sort(weights)[-5:].clip(0).sum(), MOST_TOP), np.log1p(len(gains))])
 
     def score(self, text: str | None) -> float:
         if self.coders is None:
@@ -176,20 +183,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The sample is picked among the labels' ids, which hold no texts; only its texts are fetched."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     marks = marks.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     picked: list = []
     for label in (0, 1):
-        picked += marks.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+        picked += marks.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
     ids = docs.schema["doc_id"].dataType.simpleString()
-    # Two classes of SAMPLE_DOCS ids at most, so this is small whatever the tables are.
+    # Two classes of sample_docs ids at most, so this is small whatever the tables are.
     sample = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], f"_doc {ids}, toxic int"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    found = rows.join(sample, F.col("doc_id") == F.col("_doc")).select("toxic", "doc_id", "text").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: (r["toxic"], xxhash.xxh64_intdigest(str(r["doc_id"]).encode())))
-    return Model([r["text"] or "" for r in found], np.array([r["toxic"] for r in found], np.int64))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    found = rows.join(sample, F.col("doc_id") == F.col("_doc")).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), one.alias("text")).collect()
+    found.sort(key=lambda r: (r["toxic"], xxhash.xxh64_intdigest(str(r["doc_id"]).encode()), str(r["doc_id"])))
+    return Model([r["text"] for r in found], np.array([r["toxic"] for r in found], np.int64), (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -200,6 +200,42 @@ def test_toxicity_finds_planted_words_and_ignores_the_held_out(spark):
     assert {r.held_out for r in first if held(r.doc_id, 0)} == {True}
 
 
+def toxic_texts(n, share, seed):
+    rng = random.Random(seed)
+    syllables = ["an", "ti", "on", "er", "sh", "ble", "ing", "tha", "ou", "re"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    texts, toxic = [], []
+    for _ in range(n):
+        toxic.append(int(rng.random() < share))
+        ws = [word() for _ in range(rng.randint(60, 160))]
+        for _ in range(5 * toxic[-1]):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["gobshite", "numpty", "dullard", "wretched"]))
+        texts.append(" ".join(ws))
+    return texts, np.array(toxic)
+
+
+def test_toxicity_threshold_means_the_same_for_a_cut_sample():
+    texts, toxic = toxic_texts(3000, 0.1, 1)
+    fresh, truth = toxic_texts(800, 0.1, 2)
+    some = np.concatenate([np.flatnonzero(toxic == label)[:200] for label in (0, 1)])
+    totals = int((toxic == 0).sum()), int((toxic == 1).sum())
+    rates = []
+    for model in (toxicity.Model(texts, toxic), toxicity.Model([texts[i] for i in some], toxic[some], totals)):
+        said = np.array([model.score(t) >= 0.5 for t in fresh])
+        rates.append(said.mean())
+        assert (said == truth).mean() > 0.95
+    assert abs(rates[0] - rates[1]) < 0.03
+
+
+def test_toxicity_of_repeated_ids_is_repeatable(spark):
+    texts, toxic = toxic_texts(300, 0.3, 3)
+    rows = [(i // 2, t, None, "s", 1, "r", 1, 2, "t", "h") for i, t in enumerate(texts)] + [(1000, "y" * 50_000, None, "s", 1, "r", 1, 2, "t", "h")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i // 2, int(t)) for i, t in enumerate(toxic)], "doc_id bigint, toxic int")
+    scores = [sorted((r.doc_id, r.score) for r in toxicity.score_documents(docs, toxicity.fit(d, labels)).collect()) for d in (docs, docs.repartition(5), docs.orderBy(toxicity.F.desc("text")))]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_toxicity_without_labels_is_constant(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
