@@ -1,20 +1,21 @@
-"""Near-duplicate documents by exact Jaccard similarity of word shingles, without all pairs.
+"""Near-duplicate documents by SimHash of word shingles, held against the shingles themselves.
 
-Texts are sets of 64-bit hashes of ``width`` words in a row (all words, if there are fewer). Two
-are linked if the sets' Jaccard similarity is ``PERCENT`` or more, and groups are the components of
-the links. Equal sets are one row from then on. In any order of all shingles that every set keeps
-to, two linked sets share a shingle among the first ``n - ceil(n * PERCENT / 100) + 1`` of each, so
-only these are emitted, and no linked pair is lost whatever the order. Frequent shingles, as
-counted in a part of the documents, are put last: this decides how many pairs share a shingle, not
-what is linked. Pairs that share one are held against bounds by size and place, and the rest are
-verified on the whole sets.
+Texts are sets of 64-bit hashes of ``width`` words in a row (all words, if there are fewer). Two are
+linked if the sets' Jaccard similarity is ``PERCENT`` or more, and groups are the components of the
+links. Equal sets are one row from then on. A set has a fingerprint of ``WORDS`` times 64 bits, and
+all fingerprints are compared in tiles as ``simhash`` has it. Sets of a similarity of 0.8 differ in a
+bit with a chance of 0.1612 at most (0.1875 for sets of four or five; computed for all sizes), so
+linked sets are within ``RADIUS`` bits but for about one in 4000 that are just similar enough. Pairs
+whose sizes alone rule a link out are not compared: rows are binned by the logarithm of their size.
 
-Company is verified in two rounds: each member of a shingle against the least of them, then the
-pairs of members that the first round's links have not connected. A group of near copies thus costs
-pairs in proportion to its members where they are like its least one.
+What the comparison finds are candidates, which are verified on the whole sets before they count. In
+a pair of blocks, candidates within ``SURE`` bits, where a similarity below 0.8 is next to impossible,
+give a spanning forest only; of the others, those that this forest does not connect are given. A group
+of near copies thus costs candidates in proportion to its members.
 
 Defined results: case counts; null texts and texts without words are the empty set, which is linked
-to itself only; rows of equal id are rows of their own. Other columns are not read.
+to itself only; very long texts are one set like any other; rows of equal id are rows of their own; an
+empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +25,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, small, written
 from .components import components
-from .simhash import one_of_groups
+from .simhash import Block, Blocks, Forest, close_rows, one_of_groups, set_bits, spread
 
 SHINGLE_WORDS, SEED, PERCENT = 5, 42, 80
-#: Frequent shingles: those that LEAST_SEEN or more of one in SAMPLE documents hold, MOST_FREQUENT at most.
-SAMPLE, LEAST_SEEN, MOST_FREQUENT = 16, 4, 200_000
+#: Words of a fingerprint; bits in which linked sets differ at most, also those of up to five shingles, in all words and in the first.
+WORDS, RADIUS, SMALL_RADIUS, FIRST_RADIUS = 8, 112, 127, 23
+#: The same by the number of words compared so far: what a part of the bits differs in varies more.
+LIMITS = [[min(most, round(64 * k * p + 4.5 * (64 * k * p * (1 - p)) ** 0.5)) for k in range(1, WORDS + 1)] for most, p in ((RADIUS, 0.1612), (SMALL_RADIUS, 0.1875))]
+#: Bits up to which a link is next to certain.
+SURE = 45
+#: Candidates of a pair of blocks that are held before they are looked through again.
+HELD = 1 << 20
 
 
 def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -49,9 +56,12 @@ def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[min(width, len(ws)) - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
 
 
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+def fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
+    """A bit is set if more than half of the hashes have it set; none for the empty set."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(shingles), 8192):
+        ones += set_bits(spread(shingles[at : at + 8192].view(np.uint64), words))
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -59,94 +69,108 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t.as_py(), width) for t in batch.column(1)])], names=["id", "shingles"])
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["id", "shingles"])
 
     return texts.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles in rising order, and each one's place from rare to frequent."""
-    text = F.col("text").cast("string")
-    some = docs.select(F.xxhash64(text).alias("id"), text.alias("text")).filter(F.pmod("id", F.lit(SAMPLE)) == 0)
-    seen = _sets(some, width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEAST_SEEN)
-    top = seen.orderBy(F.col("c").desc(), "h").limit(MOST_FREQUENT).toArrow()
-    h = top.column("h").to_numpy()[::-1]
-    order = np.argsort(h)
-    return h[order], order + 1
-
-
-def prefixes(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, tie, id, n, keys) of every row: the set's hash, its size and its first shingles."""
-    hashes, places = _frequent(docs, width)
-
-    def first(s: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(s), np.int64)
-        if len(hashes) and len(s):
-            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-            rank = np.where(hashes[at] == s, places[at], 0)
-        keep = len(s) + (-percent * len(s) // 100) + 1 if len(s) else 0
-        return s[np.lexsort((s, rank))[:keep]]
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, tie, id, n, bits) of every row: a hash of the text, the set's hash, size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), _lists([first(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "id", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "id", "n", "bits"])
 
     ids, text = docs.schema["doc_id"].dataType.simpleString(), F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {ids}, tie bigint, id bigint, n int, keys array<bigint>")
-
-
-def _may_link(n: Column, m: Column, at: Column, to: Column, percent: int) -> Column:
-    """Bounds for sets of n and m shingles whose first common one is at these places, from 0."""
-    common = F.least(n - at, m - to)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * common >= percent * (n + m))
-
-
-def _verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    return rows.mapInArrow(run, f"doc_id {ids}, tie bigint, id bigint, n int, bits binary")
+
+
+def _block(table: pa.Table | None) -> Block:
+    """Rows of a block's file; tiles go by the sets' sizes, whose logarithms to the base 100 / PERCENT differ by 1 at most."""
+    if table is None:
+        return Block(np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64), np.zeros((0, 1)))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(-1, WORDS)
+    return Block(table.column("id").to_numpy(), bits, _size_key(table.column("n").to_numpy())[:, None])
+
+
+def _size_key(n: np.ndarray) -> np.ndarray:
+    return np.log(n) / np.log(100 / PERCENT)
+
+
+def candidates(one: Block, two: Block, within: bool) -> list[tuple[int, int]]:
+    """Pairs of rows of ``one`` and, numbered behind them, ``two`` that have to be verified."""
+    shift = 0 if within else len(one.ids)
+    forest = Forest(len(one.ids) + (0 if within else len(two.ids)))
+    others: list[np.ndarray] = []
+
+    def apart() -> np.ndarray:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *others])
+        return np.unique(pairs[forest.root[pairs[:, 0]] != forest.root[pairs[:, 1]]], axis=0)
+
+    few = _size_key(np.array([5.5]))[0]
+    for i, j in close_rows(one, two, within, FIRST_RADIUS, 1 + 1e-9):
+        near = np.flatnonzero(np.abs(one.keys[i, 0] - two.keys[j, 0]) <= 1 + 1e-9)
+        i, j = i[near], j[near]
+        distance = np.bitwise_count(one.bits[i, 0] ^ two.bits[j, 0]).astype(np.int16)
+        for k in range(1, WORDS):
+            distance += np.bitwise_count(one.bits[i, k] ^ two.bits[j, k])
+            stay = np.flatnonzero(distance <= np.where(one.keys[i, 0] < few, LIMITS[1][k], LIMITS[0][k]))
+            if len(stay) < len(i):
+                i, j, distance = i[stay], j[stay], distance[stay]
+        real = i != j if within else np.ones(len(i), bool)
+        sure = real & (distance <= SURE)
+        forest.join(i[sure], j[sure] + shift)
+        rest = real & ~sure
+        others.append(np.column_stack([i[rest], j[rest] + shift]))
+        if sum(map(len, others)) > HELD:
+            others[:] = [apart()]
+    return [*forest.edges, *map(tuple, apart().tolist())]
+
+
+def _verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ties = marked.select("id", "tie").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("tie").alias("_tie"))
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("tie"), text.alias("text")).join(small(written(ties, "ties"), 24), F.col("tie") == F.col("_tie"))
+    ties = written(ties, "ties")
+    texts = docs.select(F.xxhash64(text).alias("tie"), text.alias("text")).join(small(ties, 24), F.col("tie") == F.col("_tie"))
     sets = written(_sets(texts.select("id", "text"), width).dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def set_links(docs: DataFrame, marked: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): edges that connect exactly the sets linked; ``marked`` is written ``prefixes``."""
-    keyed = marked.select("id", "n", F.posexplode("keys").alias("at", "key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select(F.col("key").alias("_key"), "least")
-    shared = small(written(shared, "shared"), 24)
-    held = written(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "id", "n", "at", "least").distinct(), "held")
-    hubs = held.filter("id = least").select(F.col("key").alias("_key"), F.col("n").alias("m"), F.col("at").alias("to"))
-    stars = held.filter("id <> least").join(hubs, F.col("key") == F.col("_key")).filter(_may_link(F.col("n"), F.col("m"), F.col("at"), F.col("to"), percent))
-    stars = written(stars.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    tied = written(_verified(docs, marked, stars, width, percent), "tied")
-    roots = written(components(tied), "tied_roots")
-    named = held.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-    # Keys whose members are one component by now have nothing left to compare.
-    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    named = written(named.join(open_, "key", "left_semi"), "open")
-    other = named.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("other"))
-    rest = named.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
-    rest = rest.filter(_may_link(F.col("n"), F.col("m"), F.col("at"), F.col("to"), percent)).select("a", "b").distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    dropped(held)
-    return tied.union(_verified(docs, marked, rest, width, percent))
-
-
-def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    found = written(both.filter((100 + PERCENT) * common >= PERCENT * (F.size("x") + F.size("y"))).select("a", "b"), "verified")
+    dropped(ties)
+    dropped(sets)
+    return found
+
+
+def set_links(docs: DataFrame, marked: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(a, b), written: edges that connect the sets linked; ``marked`` is written ``fingerprints``."""
+    bins = int(np.ceil(_size_key(np.array([2.0**31]))[0])) + 1
+    bin_ = F.floor(F.ln("n") / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    distinct = marked.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    blocks = Blocks(written(distinct.withColumn("bin", bin_), "distinct"), bins, 1)
+    found = written(blocks.compared(_block, candidates).distinct(), "candidates")
+    blocks.delete()
+    linked = _verified(docs, marked, found, width)
+    dropped(found)
+    return linked
+
+
+def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, tie, root) of every row; rows of one group have one root."""
-    marked = written(prefixes(docs, width, percent), "prefixes")
-    roots = written(components(set_links(docs, marked, width, percent)), "roots")
+    marked = written(fingerprints(docs, width), "fingerprints")
+    edges = set_links(docs, marked, width)
+    roots = written(components(edges), "roots")
+    dropped(edges)
     return marked.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "tie", F.coalesce("root", "id").alias("root"))
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one row of each group, chosen as ``simhash.one_of_each`` does."""
-    return one_of_groups(docs, near_groups(docs, width, percent))
+    return one_of_groups(docs, near_groups(docs, width))

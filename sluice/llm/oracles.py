@@ -36,32 +36,44 @@ WITH w AS (
 ), covered AS (
     SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice WHERE n > 1) GROUP BY doc_id
 ), lines AS (
-    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS whole FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), measured AS (
     SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
            CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-           CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+           CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(lines.whole, 0) AS BIGINT) AS n_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
     FROM w LEFT JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id
-), judged AS (
-    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
 )"""
 
-_HOSTS = """
-, hosts AS (
-    SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END)::DOUBLE AS f FROM judged GROUP BY source
+_RULES = {
+    "few_words": "n_words < 20",
+    "repeated_words": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "100 * n_symbols > 10 * n_words",
+    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 10 * n_words",
+}
+
+OP7 = OP7_MEASURES + f"""
+, judged AS (
+    SELECT *, {", ".join(f"({test}) AS {rule}" for rule, test in _RULES.items())} FROM measured
+), failures AS (
+    {" UNION ALL ".join(f"SELECT source, '{rule}' AS rule, CASE WHEN {rule} THEN 1 ELSE 0 END AS failed FROM judged" for rule in _RULES)}
+), hosts AS (
+    SELECT source, rule, count(*)::DOUBLE AS n, sum(failed)::DOUBLE AS f FROM failures GROUP BY source, rule
 ), sums AS (
-    SELECT sum(f) / sum(n) AS mean, sum(n) AS n, count(*) AS hosts, sum(f * f / n) / sum(n) AS rr FROM hosts
+    SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS n, count(*) AS hosts, sum(f * f / n) / sum(n) AS rr FROM hosts GROUP BY rule
 ), prior AS (
-    SELECT mean, CASE WHEN spread > 0 THEN least(10000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 10000.0 END AS strength
-    FROM (SELECT mean, rr - mean * mean - mean * (1 - mean) * hosts / n AS spread FROM sums)
+    SELECT rule, mean, CASE WHEN spread > 0 THEN least(10000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 10000.0 END AS strength
+    FROM (SELECT rule, mean, rr - mean * mean - mean * (1 - mean) * hosts / n AS spread FROM sums)
 ), rates AS (
-    SELECT source, (f + mean * strength) / (n + strength) AS host_rate FROM hosts, prior
-)"""
-
-OP7 = OP7_MEASURES + _HOSTS + """
-SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND host_rate <= 0.6 AS kept, round(host_rate, 9) AS host_rate
+    SELECT source, max((f + mean * strength) / (n + strength)) AS host_rate,
+           bool_or((f + mean * strength) / (n + strength) > least(0.6, greatest(0.25, mean + 3 * sqrt(mean * (1 - mean) / (strength + 1))))) AS host_rejected
+    FROM hosts JOIN prior USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeated_words AS base_failed,
+       NOT ({" OR ".join(_RULES)}) AND NOT host_rejected AS kept,
+       CAST({" + ".join(f"CASE WHEN {rule} THEN 1 ELSE 0 END" for rule in _RULES)} AS BIGINT) AS n_failed,
+       host_rejected, round(host_rate, 9) AS host_rate
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
 

@@ -1,13 +1,16 @@
 """Quality rules with verdicts on hosts, with DataFrame functions only.
 
-Each document is measured and held against rules. Failures are added up by host (``source``; of a
-page, its domain), the hosts' failure rates are shrunk towards the corpus by a beta prior whose two
-parameters are fitted to all hosts by moments, and a document is kept if it passes the rules and its
-host's shrunk rate is not above ``host_limit``. The rules are the base rules (few words, repeated
-words), as op7's SQL has them, or, with ``full``, also those on symbols, repeated lines and word length.
-
-Defined results: null text has no words and fails; a null host is a group of its own; an empty
-table gives no rows. Repeated rows count as often as they stand there.
+Each document is measured and held against five rules (few words, repeated words, symbols, repeated
+lines, mean word length). Failures are added up by host (``source``; of a page, its domain) for each
+rule, and the hosts' rates are shrunk towards the corpus by a beta prior of that rule, whose two
+parameters are fitted to all hosts by moments. A host is rejected if its shrunk rate of any rule is
+above the rule's limit, ``LIMIT_SPREADS`` standard deviations of the prior above its mean, though not
+below ``LEAST_LIMIT`` nor above ``MOST_LIMIT``. Hosts that differ by chance only are thus never
+rejected. A document is kept if it passes all rules and its host is not rejected.
+
+Defined results: null text has no words and fails, as an empty one does; very long texts are measured
+whole; a null host is a group of its own; an empty table gives no rows. Repeated rows count as often
+as they stand there. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from .common import GAP_RE, WORD_RE, let, present, small, words, written
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "[#*$%&|<>]"
-#: Limits of the full rules: symbols and twice-held lines in a hundred words or lines, mean characters of a word.
+#: Symbols and twice-held lines in a hundred words or lines, mean characters of a word.
 SYMBOL_PERCENT, DUP_LINE_PERCENT, LEAST_MEAN, MOST_MEAN = 10, 30, 2, 10
-#: A host is rejected if its shrunk share of failing documents is above this.
-HOST_LIMIT = 0.6
+#: A host's limit in the prior's standard deviations, and what it is at least and at most.
+LIMIT_SPREADS, LEAST_LIMIT, MOST_LIMIT = 3.0, 0.25, 0.6
+RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length")
 
 
 def repeated_words(hashes: Column, width: int = REPEAT_WINDOW) -> Column:
@@ -64,70 +68,76 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-
-
-def full_failed() -> Column:
-    """The base rules and those on symbols, repeated lines and mean word length; a document without words fails."""
+def rules() -> dict[str, Column]:
+    """Whether a measured document fails each rule; one without words fails the first."""
     n = F.col("n_words")
-    odd = (F.col("word_chars") < LEAST_MEAN * n) | (F.col("word_chars") > MOST_MEAN * n)
-    return base_failed() | (100 * F.col("n_symbols") > SYMBOL_PERCENT * n) | (100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines")) | odd
+    return {
+        "few_words": n < MIN_WORDS,
+        "repeated_words": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * n,
+        "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * n,
+        "repeated_lines": 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines"),
+        "word_length": (F.col("word_chars") < LEAST_MEAN * n) | (F.col("word_chars") > MOST_MEAN * n),
+    }
 
 
-def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
-    """(host, n_docs, n_failed, shrunk_rate); the prior's mean and strength come from all hosts.
+def host_rates(rows: DataFrame, host: str) -> DataFrame:
+    """(host, n_docs, rejected, and the shrunk rate of each rule); the priors come from all hosts.
 
     Moments: with weights n_docs, mean m and variance v of the rates, less the binomial part
     m(1-m)/n of v, give the strength m(1-m)/v - 1, held between 1 and 10 000 so that equal or
     single hosts still give a proper prior.
     """
-    by_host = rows.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("bigint")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
+    by_host = rows.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(r).cast("bigint")).alias(f"_f_{r}") for r in RULES])
     sums = by_host.agg(
-        F.sum("n_docs").alias("_n"), F.sum("n_failed").alias("_f"), F.count(F.lit(1)).alias("_hosts"),
-        F.sum(F.col("n_docs") * rate * rate).alias("_nrr"),
-    )
-    mean = F.col("_f") / F.col("_n")
-    binomial = mean * (1 - mean) * F.col("_hosts") / F.col("_n")
-    spread = F.col("_nrr") / F.col("_n") - mean * mean - binomial
-    strength = F.when(spread > 0, F.least(F.lit(1e4), F.greatest(F.lit(1.0), mean * (1 - mean) / spread - 1))).otherwise(F.lit(1e4))
-    # One row of sums: its size does not depend on the data.
-    prior = F.broadcast(sums.filter("_n > 0").select(mean.alias("_mean"), strength.alias("_strength")))
-    shrunk = (F.col("n_failed") + F.col("_mean") * F.col("_strength")) / (F.col("n_docs") + F.col("_strength"))
-    return by_host.crossJoin(prior).select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"))
+        F.sum("n_docs").alias("_n"), F.count(F.lit(1)).alias("_hosts"),
+        *[F.sum(f"_f_{r}").alias(f"_s_{r}") for r in RULES],
+        *[F.sum(F.col(f"_f_{r}") * F.col(f"_f_{r}") / F.col("n_docs")).alias(f"_rr_{r}") for r in RULES],
+    ).filter("_n > 0")
+
+    def prior(rule: str) -> list[Column]:
+        mean = F.col(f"_s_{rule}") / F.col("_n")
+        spread = F.col(f"_rr_{rule}") / F.col("_n") - mean * mean - mean * (1 - mean) * F.col("_hosts") / F.col("_n")
+        strength = F.when(spread > 0, F.least(F.lit(1e4), F.greatest(F.lit(1.0), mean * (1 - mean) / spread - 1))).otherwise(F.lit(1e4))
+        limit = mean + LIMIT_SPREADS * F.sqrt(mean * (1 - mean) / (strength + 1))
+        return [mean.alias(f"_mean_{rule}"), strength.alias(f"_strength_{rule}"), F.least(F.lit(MOST_LIMIT), F.greatest(F.lit(LEAST_LIMIT), limit)).alias(f"_limit_{rule}")]
 
+    # One row of sums: its size does not depend on the data.
+    priors = F.broadcast(sums.select(*[c for r in RULES for c in prior(r)]))
+    shrunk = {r: (F.col(f"_f_{r}") + F.col(f"_mean_{r}") * F.col(f"_strength_{r}")) / (F.col("n_docs") + F.col(f"_strength_{r}")) for r in RULES}
+    over = F.array(*[shrunk[r] > F.col(f"_limit_{r}") for r in RULES])
+    return by_host.crossJoin(priors).select(host, "n_docs", F.exists(over, lambda x: x).alias("rejected"), *[c.alias(r) for r, c in shrunk.items()])
 
-def judge(docs: DataFrame, host_limit: float = HOST_LIMIT, full: bool = False) -> DataFrame:
-    """doc_id, source, measures, base_failed, host_rate and kept; one row a document.
 
-    ``full`` says that hosts and documents are judged by the full rules, which stand in ``failed``.
-    """
-    made = measures(F.col("text"))
-    rows = docs.select("doc_id", "source", *[c.alias(k) for k, c in made.items()]).withColumn("base_failed", base_failed())
-    rows = rows.withColumn("failed", full_failed()) if full else rows
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, source, measures, base_failed, n_failed (rules), host_rate, host_rejected and kept; one row a document."""
+    rows = docs.select("doc_id", "source", *[c.alias(k) for k, c in measures(F.col("text")).items()])
+    rows = rows.select("*", *[c.alias(r) for r, c in rules().items()])
     # Written because it is read twice, for the hosts and for the verdicts; it holds no text.
-    return with_verdicts(written(rows, "measures"), host_limit, "failed" if full else "base_failed")
+    judged = with_verdicts(written(rows, "measures"))
+    return judged.withColumn("base_failed", F.col("few_words") | F.col("repeated_words")).drop(*RULES)
 
 
-def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT, full: bool = False) -> DataFrame:
+def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    made = measures(F.col("text"))
-    needed = made if full else {k: made[k] for k in ("n_words", "n_repeat_words")}
-    rows = docs.select(F.struct("*").alias("row"), "source", *[c.alias(k) for k, c in needed.items()])
-    rows = rows.withColumn("failed", full_failed() if full else base_failed()).select("row", "source", "failed")
-    return with_verdicts(rows, host_limit, "failed").filter("kept").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), "source", *[c.alias(k) for k, c in measures(F.col("text")).items()])
+    rows = rows.select("row", "source", *[c.alias(r) for r, c in rules().items()])
+    failed = F.array(*RULES)
+    # Measured once: what the rules leave is written beside the failures that hosts are judged by.
+    rows = rows.select(F.when(~F.exists(failed, lambda x: x), F.col("row")).alias("row"), "source", *RULES)
+    return with_verdicts(written(rows, "judged")).filter("kept").select("row.*")
 
 
-def with_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT, failed: str = "base_failed") -> DataFrame:
-    hosts = host_rates(rows, "source", failed)
+def with_verdicts(rows: DataFrame) -> DataFrame:
+    """``rows``, which hold source and the rules' failures, with n_failed, host_rate (the greatest of its rules), host_rejected and kept."""
+    hosts = host_rates(rows, "source").select(F.col("source").alias("_host"), F.greatest(*RULES).alias("host_rate"), F.col("rejected").alias("host_rejected"))
     # A window over the host would bring a hot host to one task. The verdicts are joined instead, without
     # moving the documents if the hosts, counted, are few enough.
-    hosts = small(written(hosts.select(F.col("source").alias("_host"), F.col("shrunk_rate").alias("host_rate")), "hosts"), 128)
+    hosts = small(written(hosts, "hosts"), 128)
     joined = rows.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col(failed) & (F.col("host_rate") <= host_limit))
+    failures = F.size(F.filter(F.array(*RULES), lambda x: x))
+    return joined.withColumn("n_failed", failures).withColumn("kept", (failures == 0) & ~F.col("host_rejected"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     rows = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_failed").cast("bigint").alias("n_failed"), "host_rejected", F.round("host_rate", 9).alias("host_rate"))

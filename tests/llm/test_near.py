@@ -70,7 +70,11 @@ def test_forest_connects_what_all_pairs_connect():
     one = np.unique(centres[rng.integers(0, 40, 900)] ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64)))
     for within in (True, False):
         a, b = (one, one) if within else (one[::2].copy(), one[1::2].copy())
-        root = simhash.forest(a, b, 3, within)
+        blocks = [simhash.Block(np.arange(len(x)), x.reshape(-1, 1), simhash.quarter_counts(x.reshape(-1, 1))) for x in (a, b)]
+        tied = simhash.Forest(len(a) if within else len(a) + len(b))
+        for i, j in simhash.linked(*blocks, within, 3):
+            tied.join(np.array([i]), np.array([j]))
+        root = tied.root
         rows = one if within else np.concatenate([a, b])
         linked = np.bitwise_count(rows[:, None] ^ rows[None, :]) <= 3
         if not within:

@@ -161,7 +161,9 @@ def test_quality_measures_and_verdicts(spark):
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out), key=str) == expected
     for r in out:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (not r.base_failed and r.host_rate <= quality.HOST_LIMIT)
+        odd = not 2 * r.n_words <= r.word_chars <= 10 * r.n_words
+        failed = [r.n_words < 20, 100 * r.n_repeat_words > 30 * r.n_words, 100 * r.n_symbols > 10 * r.n_words, 100 * r.n_dup_lines > 30 * r.n_lines, odd]
+        assert r.n_failed == sum(failed) and r.kept == (not any(failed) and not r.host_rejected)
     kept = quality.kept_documents(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == spark.createDataFrame(rows, SCHEMA).columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in out if r.kept), key=str)
@@ -176,6 +178,39 @@ def test_hosts_that_fail_lose_their_documents(spark):
     assert kept == {1000 + i for i in range(400) if i % 10} | {5000}
 
 
+def test_host_verdicts_on_the_test_tables(spark, tmp_path):
+    """Hosts as they come are alike, so none is rejected; where junk is moved to a host, its clean documents go too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = quality.judge(docs)
+    assert out.filter("host_rejected").count() == 0 and out.filter("n_failed > 0 and not base_failed and not kept").count() > 0
+    junk = {r.doc_id for r in out.filter("n_failed > 0").collect()}
+    clean = sorted(r.doc_id for r in out.filter("kept").collect())
+    for rule in ("n_symbols * 10 > n_words", "n_words < 20"):
+        one = [r.doc_id for r in out.filter(rule).collect()]
+        bad = {*one, *clean[: len(one) // 2]}
+        assert len(one) >= 10
+        moved = docs.withColumn("source", quality.F.when(quality.F.col("doc_id").isin(*bad), "junk.example").otherwise(quality.F.col("source")))
+        judged = {r.doc_id: r for r in quality.judge(moved).collect()}
+        assert {i for i, r in judged.items() if r.host_rejected} == bad
+        assert {i for i, r in judged.items() if r.kept} == set(judged) - junk - bad
+
+
+def test_verdicts_are_the_sql_s(spark, tmp_path):
+    import duckdb
+
+    from sluice.llm import oracles
+
+    rows = [(i, t, None, s, None if t is None else len(t), "r", 1, 2, "t", "h") for i, (t, s) in enumerate((r[1], r[3]) for r in awkward_rows(n=200))]
+    good = " ".join(f"word{i}" for i in range(40))
+    rows += [(1000 + i, good + (" # $ % & |" if i % 8 else ""), "en", "junk", 1, "r", 1, 2, "t", "h") for i in range(60)]
+    at = folder(spark, tmp_path, spark.createDataFrame(rows, SCHEMA))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    out = quality.op7_quality(spark, at)
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({oracles.OP7})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and any(r.host_rejected for r in out.collect())
+
+
 def test_toxicity_finds_planted_words_and_ignores_the_held_out(spark):
     rng = random.Random(6)
     syllables = ["an", "ti", "on", "er", "sh", "ble", "ing", "tha", "ou", "re"]
