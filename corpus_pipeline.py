@@ -3,11 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
 
-1. quality: documents that fail the full rules, or whose host does, go.
+1. quality: documents that fail a rule, or whose host is rejected, go.
 2. line_dedup: lines that an earlier document or line has, within one edit, go; a document that loses
    every line goes.
-3. near_dedup: one document of each group stays whose five-word shingles have a Jaccard similarity of
-   0.8 or more.
+3. near_dedup: fingerprints of five-word shingles are compared in tiles, and one document of each
+   group stays whose shingles have a Jaccard similarity of 0.8 or more.
 4. mixing: words are taken from each source by its target weight, in blocks; a document comes once,
    twice or in part.
 5. encode: byte-level BPE ids of each text, with digests of the ids and of what they decode to.
@@ -30,7 +30,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.kept_documents(docs, full=True)
+    return quality.kept_documents(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
