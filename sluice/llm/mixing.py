@@ -3,14 +3,18 @@
 Targets: sources weigh by their place in code-point order and share a part of all words; none gets
 more than ``most`` times its size, and what it leaves goes to the others by weight. Blocks: the
 targets are turned into whole blocks of equal word counts by highest quotients (target / (2k + 1)),
-first over sources, then within a source over its shards, the shards being dealt by a hash of the
-document. Selection: a shard's documents are put in a seeded order and cut into equal blocks; full
-passes take every block, and the rest of the quota takes blocks at even steps from a seeded start.
-What a document gives is what its word span shares with the taken blocks.
-
-Defined results: null text has no words; sources may be null (last, one group of their own);
-sources without words have target 0; with no rows there is no result. Rows of equal id stand next
-to each other by size. Other columns are not read.
+first over sources, then within a source over ranges of ``RANGE`` shards, then within a range over its
+shards, so that no task ranks more than a range or the ranges of one source. A source has a shard for
+each ``shard_words`` of its own words, so a shard's share is many blocks; documents are dealt to shards
+by a hash. Blocks that a shard cannot hold ``most`` times are dealt again over its range. Selection: a
+shard's documents are put in a seeded order and cut into equal blocks; full passes take every block,
+and the rest of the quota takes blocks at even steps from a seeded start. Small sources are cut
+``FINE`` times finer. What a document gives is what its word span shares with the taken blocks.
+
+Defined results: null, empty and blank texts have no words and give none; very long texts may fill many
+blocks; sources may be null (last, one group of their own); sources without words have target 0; with
+no rows there is no result. Rows of equal id stand next to each other by size. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, let, present, words
+from .common import WORD_RE, let, present, small, words, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-BLOCK_WORDS, SHARD_DOCS, SEED = 128, 512, 20250101
+BLOCK_WORDS, SHARD_WORDS, SEED = 128, 65_536, 20250101
+#: Shards of a range; how much finer a source of fewer than SMALL blocks is cut.
+RANGE, FINE, SMALL = 1024, 16, 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -94,25 +100,58 @@ def _taken_before(at: Column, size: Column, n_blocks: Column, quota: Column, sta
     return F.when(size <= 0, F.lit(0).cast("bigint")).otherwise(let(F.floor(at * n_blocks / F.greatest(size, F.lit(1))), within))
 
 
-def _spans(docs: DataFrame, more: list[Column], weights: tuple[float, ...], share: float, most: float, block_words: int, shard_docs: int, seed: int) -> DataFrame:
-    """Each document with its shard's cut and quota, and the end of its words in the shard's order."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), *more)
-    n_docs = docs.select(F.lit(1)).count()
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max(1, -(-n_docs // shard_docs)))).cast("int"))
-    cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
-    sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    targets = source_targets(sources, weights, share, most)
+def _sized(docs: DataFrame, more: list[Column]) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", "source", F.size(words(text)).cast("bigint").alias("size"), F.xxhash64(text).alias("_tie"), *more)
+
+
+def _quotas(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, block_words: int, shard_words: int) -> DataFrame:
+    """(_source, source_size, target, source_blocks, fine, n_shards): one row a source."""
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     total = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("bigint")
     quotas = sainte_lague(targets.withColumn("_blocks", total), "target", "_blocks", [], "source_blocks", [F.col("source").isNull(), F.col("source").cast("binary")])
-    quotas = quotas.select(F.col("source").alias("_source"), "source_size", "target", "source_blocks")
-    cells = cells.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    cells = cells.withColumn("_claim", F.col("cell_size").cast("double"))
-    cells = sainte_lague(cells, "_claim", "source_blocks", ["source"], "quota", [F.col("shard")])
-    cells = cells.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("cell_size") / block_words)).cast("bigint"))
-    cells = cells.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "cell_size", "n_blocks", F.least("quota", (F.lit(most) * F.col("n_blocks")).cast("bigint")).alias("quota"))
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    spans = sized.withColumn("_end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.join(cells, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")))
+    fine = F.when(F.col("source_size") < SMALL * block_words, F.lit(FINE)).otherwise(F.lit(1)).cast("bigint")
+    shards = F.greatest(F.lit(1), F.floor(F.col("source_size") / shard_words)).cast("bigint")
+    return quotas.select(F.col("source").alias("_source"), "source_size", "target", "source_blocks", fine.alias("fine"), shards.alias("n_shards"))
+
+
+def _dealt(sized: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """Documents with their source's quota and their shard."""
+    rows = sized.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_tie"), F.col("n_shards")))
+
+
+def _cells(dealt: DataFrame, most: float, block_words: int) -> DataFrame:
+    """(_source, _shard, cell_size, n_blocks, quota): the shards that have rows."""
+    cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"), F.first("source_blocks").alias("source_blocks"), F.first("fine").alias("fine"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    cells = written(cells.withColumn("range", F.floor(F.col("shard") / RANGE)), "cells")
+    ranges = cells.groupBy("source", "range").agg(F.sum("cell_size").cast("double").alias("_claim"), (F.first("source_blocks") * F.first("fine")).alias("_blocks"))
+    ranges = sainte_lague(ranges, "_claim", "_blocks", ["source"], "range_blocks", [F.col("range")])
+    ranges = ranges.select(F.col("source").alias("_s"), F.col("range").alias("_r"), "range_blocks")
+    cells = cells.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).drop("_s", "_r")
+    cells = sainte_lague(cells.withColumn("_claim", F.col("cell_size").cast("double")), "_claim", "range_blocks", ["source", "range"], "_quota", [F.col("shard")])
+    cells = cells.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("cell_size") * F.col("fine") / block_words)).cast("bigint"))
+    # A source whose target is its cap gives all it may; elsewhere what is too much for a shard goes to the others of its range.
+    room = (F.lit(most) * F.col("n_blocks")).cast("bigint")
+    cells = cells.withColumn("_held", F.when(F.col("target") >= most * F.col("source_size"), room).otherwise(F.least("_quota", room)))
+    whole = Window.partitionBy("source", "range")
+    cells = cells.withColumn("_over", F.greatest(F.sum(F.col("_quota") - F.col("_held")).over(whole), F.lit(0)))
+    cells = cells.withColumn("_slack", (room - F.col("_held")).cast("double"))
+    cells = cells.withColumn("_over", F.least("_over", F.sum("_slack").over(whole).cast("bigint")))
+    cells = sainte_lague(cells, "_slack", "_over", ["source", "range"], "_more", [F.col("shard")])
+    return cells.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "cell_size", "n_blocks", F.least(F.col("_held") + F.col("_more"), room).alias("quota"))
+
+
+def _spans(docs: DataFrame, more: list[Column], weights: tuple[float, ...], share: float, most: float, block_words: int, shard_words: int, seed: int) -> DataFrame:
+    """Each document with its shard's cut and quota, and the end of its words in the shard's order."""
+    # Words are counted once, in a table without texts; where documents are wanted whole, they are counted again beside them.
+    sized = written(_sized(docs, []), "sizes")
+    quotas = small(written(_quotas(sized, weights, share, most, block_words, shard_words), "quotas"), 128)
+    cells = _cells(_dealt(sized, quotas, seed), most, block_words)
+    rows = _dealt(_sized(docs, more) if more else sized, quotas, seed)
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "_tie")
+    spans = rows.withColumn("_end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.join(small(written(cells, "quotas"), 64), (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")))
     return spans.withColumn("_start", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks")))
 
 
@@ -126,11 +165,11 @@ def mix(
     share: float = SHARE,
     most: float = MOST,
     block_words: int = BLOCK_WORDS,
-    shard_docs: int = SHARD_DOCS,
+    shard_words: int = SHARD_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, shard; one row a document."""
-    spans = _spans(docs, [], weights, share, most, block_words, shard_docs, seed)
+    spans = _spans(docs, [], weights, share, most, block_words, shard_words, seed)
     return spans.select("doc_id", "source", "size", "source_size", "target", (_before(F.col("_end")) - _before(F.col("_end") - F.col("size"))).alias("taken"), "shard")
 
 
@@ -140,7 +179,7 @@ def mixed_documents(
     share: float = SHARE,
     most: float = MOST,
     block_words: int = BLOCK_WORDS,
-    shard_docs: int = SHARD_DOCS,
+    shard_words: int = SHARD_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each time that words of a document are taken.
@@ -148,7 +187,7 @@ def mixed_documents(
     A row's text is the document's, or, where taken blocks end within it, the taken words with the
     white space after each; n_chars is brought up to date. The rows' words add up to ``taken``.
     """
-    spans = _spans(docs, [F.struct("*").alias("row")], weights, share, most, block_words, shard_docs, seed)
+    spans = _spans(docs, [F.struct("*").alias("row")], weights, share, most, block_words, shard_words, seed)
     first = F.col("_end") - F.col("size")
     pieces = F.regexp_extract_all(present(F.col("row.text")), F.lit(f"{WORD_RE}[\\x20\\x09-\\x0D]*"), F.lit(0))
     # Taken words before each word and after the last: the differences say how often each is taken.
@@ -183,3 +222,8 @@ def mixed_documents(
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     rows = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express: sizes and targets."""
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))

@@ -23,7 +23,7 @@ WITH RECURSIVE sized AS (
            / nullif(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER (), 0) END AS target
     FROM fill WHERE round = 60
 )
-SELECT s.doc_id, s.size, t.source_size, t.target FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+SELECT s.doc_id, s.size, t.source_size, round(t.target, 6) AS target FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 """
 
 OP7_MEASURES = rf"""

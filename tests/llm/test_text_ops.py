@@ -96,7 +96,7 @@ def fill(sizes):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mix_meets_targets(spark, seed):
     docs = awkward(spark, seed, 300)
-    out = mixing.mix(docs, block_words=16, shard_docs=32).collect()
+    out = mixing.mix(docs, block_words=16, shard_words=512).collect()
     rows = awkward_rows(seed, 300)
     assert sorted(((r.doc_id, r.size) for r in out), key=str) == sorted(((r[0], len(WORD.findall(r[1] or ""))) for r in rows), key=str)
     sizes = defaultdict(int)
@@ -110,16 +110,32 @@ def test_mix_meets_targets(spark, seed):
         taken[r.source] += r.taken
     for s in sizes:
         assert abs(taken[s] - target[s]) <= 16 * 12 + 0.02 * target[s]
-    again = mixing.mix(docs.repartition(7), block_words=16, shard_docs=32).collect()
+    again = mixing.mix(docs.repartition(7), block_words=16, shard_words=512).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_small_sources_in_a_large_table_come_near_their_targets(spark):
+    """With production parameters: sources of short documents beside one that is much greater."""
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.randint(200, 900), None, "big", 1, "r", 1, 2, "t", "h") for i in range(3000)]
+    rows += [(10_000 + i, "w " * rng.randint(5, 60), None, f"s{i % 7}", 1, "r", 1, 2, "t", "h") for i in range(1500)]
+    rows += [(20_000, "w " * 150, None, "tiny", 1, "r", 1, 2, "t", "h"), (20_001, "", None, "none", 1, "r", 1, 2, "t", "h")]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    target, taken = {r.source: r.target for r in out}, Counter()
+    for r in out:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= 96 + 0.005 * want, s
+    assert {s for s in target if target[s] == 2 * next(r.source_size for r in out if r.source == s)} > {"tiny"}
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     docs = awkward(spark, 3, 80)
     taken = Counter()
-    for r in mixing.mix(docs, block_words=16, shard_docs=32).collect():
+    for r in mixing.mix(docs, block_words=16, shard_words=512).collect():
         taken[r.doc_id] += r.taken
-    out = mixing.mixed_documents(docs, block_words=16, shard_docs=32)
+    out = mixing.mixed_documents(docs, block_words=16, shard_words=512)
     assert out.columns == docs.columns
     words, got = defaultdict(Counter), Counter()
     for r in awkward_rows(3, 80):
