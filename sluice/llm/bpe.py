@@ -121,6 +121,24 @@ def heap_merged(word: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
     return ids
 
 
+def array_literal(values: np.ndarray) -> Column:
+    """A literal array of longs or integers in the layout of Spark's own rows.
+
+    Made of a list, the literal would hold an object for each element, and every text that is made of
+    the plan, for logs and listeners, would spell all of them.
+    """
+    spark = SparkSession.getActiveSession()
+    jvm, types = spark._jvm, spark._jvm.org.apache.spark.sql.types
+    kind = types.DataTypes.LongType if values.dtype.itemsize == 8 else types.DataTypes.IntegerType
+    nulls = bytes(-(-len(values) // 64) * 8)
+    data = values.tobytes()
+    row = np.int64(len(values)).tobytes() + nulls + data + bytes(-len(data) % 8)
+    array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData()
+    array.pointTo(row, jvm.org.apache.spark.unsafe.Platform.BYTE_ARRAY_OFFSET, len(row))
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, types.ArrayType(kind, False))
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 class PairTable:
     """A literal map from two ids to the id that they merge to: a pair is at one of two places."""
 
@@ -129,9 +147,8 @@ class PairTable:
         while (slots := self._placed(pairs, size)) is None:
             size = int(size * 1.1) + 1
         self.size = size
-        numbers = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",", -1).cast(f"array<{kind}>")
-        self.keys = numbers((-1 if k is None else k[0] << 16 | k[1] for k in slots), "bigint")
-        self.values = numbers((NONE if k is None else pairs[k] for k in slots), "int")
+        self.keys = array_literal(np.array([-1 if k is None else k[0] << 16 | k[1] for k in slots], "<i8"))
+        self.values = array_literal(np.array([NONE if k is None else pairs[k] for k in slots], "<i4"))
 
     @staticmethod
     def _places(pair: tuple[int, int], size: int) -> tuple[int, int]:
@@ -197,10 +214,6 @@ def _folded(parts: Column, rank: Callable[[Column, Column], Column]) -> Column:
     return let(parts, start)
 
 
-#: Characters of a plan's text that are kept.
-PLAN_TEXT = 100_000
-
-
 class WordTable:
     """Words and their 16-bit ids, found by hash and then compared; about 30 bytes a word."""
 
@@ -350,9 +363,6 @@ class Encoder:
         if max(ranks.values()) >= MARK:
             raise ValueError("ids have to fit in 16 bits")
         self.spark, self.pattern = spark, pattern
-        # The rank map is part of the plan, and so of every text that is made of it for logs and listeners.
-        if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("bB")) > PLAN_TEXT:
-            spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
         get = ranks.get
         splits = (((get(t[:i]), get(t[i:])), r) for t, r in ranks.items() for i in range(1, len(t)))
         self.pairs = PairTable({pair: r for pair, r in splits if None not in pair})
