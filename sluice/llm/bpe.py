@@ -43,12 +43,12 @@ from .splitting import Hashes, Words, gathered, runs, same, splitter
 NONE = 1 << 30
 TABLE_WORDS, TABLE_BYTES, LONG_BYTES = 600_000, 40, 256
 #: Different words that a worker counts before it hands them on.
-HELD = 300_000
+HELD = 100_000
 #: Stands before the two digits of a word's number; no id is as great.
 MARK = 0xFFFF
 #: Documents that a worker codes at once, and bytes of codes that it digests at once, whatever the
 #: size of the batches that it is given; one document is never divided.
-SLICE, DIGEST_BYTES = 512, 1 << 21
+SLICE, DIGEST_BYTES, PART = 512, 1 << 19, 1 << 16
 #: Entries for each key of a two-place table; under half full, places can be found for all.
 ROOM = 2.1
 
@@ -81,11 +81,13 @@ class Strings:
 
     def __init__(self, strings: list[bytes]) -> None:
         self.flat = np.frombuffer(b"".join(strings), np.uint8)
-        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.fromiter(map(len, strings), np.int32, len(strings))
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
 
     def joined(self, ids: np.ndarray) -> bytes:
-        return gathered(self.flat, self.starts.take(ids), self.sizes.take(ids)).tobytes()
+        """A part of the ids at a time, as places take more room than what they point to."""
+        parts = (ids[i : i + PART] for i in range(0, len(ids), PART))
+        return b"".join([gathered(self.flat, self.starts.take(x), self.sizes.take(x)).tobytes() for x in parts])
 
 
 def heap_merged(word: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
@@ -457,7 +459,7 @@ class Encoder:
                 cuts = [0, *ends.tolist()]
                 texts, spelt = pieces.joined(ids), names.joined(ids)
                 # Where each document's bytes end: at the sum of its ids' lengths.
-                text_cuts, name_cuts = ([0, *np.append(0, np.cumsum(of.sizes.take(ids)))[ends].tolist()] for of in (pieces, names))
+                text_cuts, name_cuts = ([0, *np.append(0, np.cumsum(of.sizes.take(ids), dtype=np.int64))[ends].tolist()] for of in (pieces, names))
                 hashes = [hashlib.sha256(spelt[a : max(a, b - 1)]).hexdigest() for a, b in zip(name_cuts[:-1], name_cuts[1:], strict=True)]
                 decoded = [hashlib.sha256(texts[a:b]).hexdigest() for a, b in zip(text_cuts[:-1], text_cuts[1:], strict=True)]
                 made = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []

@@ -57,7 +57,11 @@ class Hashes:
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` with these starts and sizes, one behind the other."""
     ends = np.cumsum(sizes)
-    return flat.take(np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0))
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat.take(at)
 
 
 def same(one: np.ndarray, starts: np.ndarray, two: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
