@@ -15,9 +15,15 @@ META = ("event_ts", "ingest_ts", "source_id", "seq", "slot")
 BOUND_SAMPLE = 20_000
 
 
+def _holds_map(kind) -> bool:
+    """Whether a type has a map in it, of which Spark makes no hash."""
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 def _bounds(df: DataFrame, key: str, parts: int) -> list:
     """Cuts of the key's range into about equal parts, from a sample of bounded size taken by hash."""
-    rows = df.select(F.col(key).alias("k"), F.xxhash64(key).alias("h")).filter("k is not null")
+    # The hash is of the whole row: by the key alone, a frequent key would come as one block and fill the sample.
+    rows = df.select(F.col(key).alias("k"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not _holds_map(df.schema[c].dataType)]).alias("h")).filter("k is not null")
     keys = sorted(r["k"] for r in rows.orderBy("h").limit(BOUND_SAMPLE).select("k").collect())
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
@@ -74,10 +80,10 @@ def envelope(
 
 
 def stream_envelope(df: DataFrame, payload: Column | str, event_ts: Column | str | None = None, source_id: str | None = None) -> DataFrame:
-    """An unbounded DataFrame as messages; ``seq`` is left to the source's order within a batch."""
+    """An unbounded DataFrame as messages; a ``seq`` that the source has is kept, else stages that need one number messages as they come."""
     column = lambda c, other: other if c is None else F.col(c) if isinstance(c, str) else c
     now = F.current_timestamp()
-    return df.select(column(payload, None).alias("payload"), column(event_ts, now).cast("timestamp").alias("event_ts"), now.alias("ingest_ts"), F.lit(source_id).cast("string").alias("source_id"), F.lit(0).alias("slot"))
+    return df.select(column(payload, None).alias("payload"), column(event_ts, now).cast("timestamp").alias("event_ts"), now.alias("ingest_ts"), F.lit(source_id).cast("string").alias("source_id"), F.lit(0).alias("slot"), *(["seq"] if "seq" in df.columns else []))
 
 
 def with_new_payload(df: DataFrame, payload: Column) -> DataFrame:

@@ -14,6 +14,10 @@ def split_round_robin(df: DataFrame, slots: int) -> DataFrame:
     """The first message to slot 0, the next to slot 1, and so on round; more than one slot."""
     if slots < 2:
         raise ValueError("a splitter needs more than one slot")
+    if df.isStreaming and "seq" not in df.columns:
+        from ..streaming.stateful import numbered
+
+        df = numbered(df)
     return df.withColumn("slot", F.pmod("seq", F.lit(slots)).cast("int"))
 
 
@@ -33,10 +37,14 @@ def combine(first: DataFrame, *others: DataFrame, source_ids: list[str] | None =
     """The union of sources of one payload type; ``source_ids`` name them, in order.
 
     Each source brings its slot 0 only, and all arrive in slot 0. ``reorder`` gives bounded sources
-    one new seq by these columns; without it seq is each source's own.
+    one new seq by these columns; without it seq is each source's own. Of streams none is kept, as
+    messages of several sources have no order but that of arrival. Columns that a source lacks are null.
     """
-    sources = [first, *[o.filter("slot = 0") for o in others]]
+    slotted = [s if "slot" in s.columns else s.withColumn("slot", F.lit(0)) for s in (first, *others)]
+    sources = [slotted[0], *[o.filter("slot = 0") for o in slotted[1:]]]
+    if any(s.isStreaming for s in sources):
+        sources = [s.drop("seq") for s in sources]
     if source_ids:
         sources = [s.withColumn("source_id", F.lit(name)) for s, name in zip(sources, source_ids, strict=True)]
-    both = reduce(lambda a, b: a.unionByName(b), [s.withColumn("slot", F.lit(0)) for s in sources])
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("slot", F.lit(0)) for s in sources])
     return with_seq(both.drop("seq"), *reorder) if reorder else both

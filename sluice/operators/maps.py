@@ -6,8 +6,11 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 
 def by_column(df: DataFrame, expression: Column | Callable[[Column], Column]) -> DataFrame:
@@ -18,9 +21,12 @@ def by_column(df: DataFrame, expression: Column | Callable[[Column], Column]) ->
 def by_callable(df: DataFrame, function: Callable[[Any], Any], returns: str) -> DataFrame:
     """The payload replaced by a Python function's result, of a declared type; exceptions raise."""
 
-    @F.pandas_udf(returns)
-    def made(values: pd.Series) -> pd.Series:
-        return values.map(function)
+    kind = to_arrow_type(_parse_datatype_string(returns))
+
+    # Values as Arrow has them: a Series would turn integers beside nulls into floats.
+    @F.arrow_udf(returns)
+    def made(values: pa.Array) -> pa.Array:
+        return pa.array([function(v) for v in values.to_pylist()], kind)
 
     return df.withColumn("payload", made(F.col("payload")))
 

@@ -12,6 +12,8 @@ to the first, and stages that do not fit raise TypeError.
 
 from __future__ import annotations
 
+import copy
+import functools
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -133,52 +135,79 @@ def map_function(function: Callable[[Any], Any], returns: str, gives: str = "val
 
 
 def reduce_running(operation: str, initial: Any = None) -> Stage:
-    return Stage("reduce", lambda df, _: folds.running(df, operation, initial=initial), "any", "value")
+    """sum, count, min or max so far, after each message, over all slots."""
 
-
-def reduce_function(step: Callable[[Any, Any], Any], initial: Any, returns: str, keep_on_error: bool = False) -> Stage:
     def apply(df: DataFrame, _: int) -> DataFrame:
-        made = folds.running_by(df, step, initial, returns, keep_on_error)
-        return reset(made.withColumn("slot", F.lit(0)))
+        if not df.isStreaming:
+            return folds.running(df, operation, initial=initial)
+        kind = "bigint" if operation == "count" else folds.total_type(df.schema["payload"].dataType, operation)
+        return _folded(df, folds.STEPS[operation], initial if initial is not None or operation != "count" else 0, kind, False)
 
     return Stage("reduce", apply, "any", "value")
 
 
-def _windowed(df: DataFrame) -> DataFrame:
+def _folded(df: DataFrame, step: Callable[[Any, Any], Any], initial: Any, returns: str, keep_on_error: bool) -> DataFrame:
+    """A fold over bounded or unbounded messages, as new messages of slot 0."""
+    if df.isStreaming:
+        from ..streaming.stateful import running_fold
+
+        made = running_fold(df, step, initial, returns, keep_on_error)
+    else:
+        made = folds.running_by(df, step, initial, returns, keep_on_error)
+    return reset(made.withColumn("slot", F.lit(0)))
+
+
+def reduce_function(step: Callable[[Any, Any], Any], initial: Any, returns: str, keep_on_error: bool = False) -> Stage:
+    return Stage("reduce", lambda df, _: _folded(df, step, initial, returns, keep_on_error), "any", "value")
+
+
+def reduce_each(step: Callable[[Any, Any], Any], initial: Any, returns: str) -> Stage:
+    """The fold of each window's messages by itself: its state starts anew with every window."""
+
+    def fold(batch: Any) -> Any:
+        return functools.reduce(step, batch if batch is not None else (), copy.deepcopy(initial))
+
+    return Stage("reduce", lambda df, _: reset(maps.by_callable(df, fold, returns)), "batch", "value")
+
+
+def _windowed(df: DataFrame, slots: int) -> DataFrame:
     """Windows as messages: in the order of their number and slot."""
-    slots = df.agg(F.max("slot")).first()[0] if not df.isStreaming else 0
-    return reset(df.withColumn("seq", F.col("win") * (int(slots or 0) + 1) + F.col("slot")))
+    if not df.isStreaming:
+        slots = max(slots, int(df.agg(F.max("slot")).first()[0] or 0) + 1)
+    return reset(df.withColumn("seq", F.col("win") * slots + F.col("slot")))
 
 
 def window_count(n: int = 10) -> Stage:
-    def apply(df: DataFrame, _: int) -> DataFrame:
+    def apply(df: DataFrame, slots: int) -> DataFrame:
         if df.isStreaming:
             from ..streaming.stateful import count_windows
 
-            return count_windows(df, n)
-        return _windowed(windows.count_window(df, n))
+            return _windowed(count_windows(df, n), slots)
+        return _windowed(windows.count_window(df, n), slots)
 
     return Stage("window", apply, "any", "batch")
 
 
 def window_duration(duration_ms: int, start_ms: int = 0) -> Stage:
-    def apply(df: DataFrame, _: int) -> DataFrame:
+    """``start_ms`` is where the clock of a replay starts, bounded or a stream with ``arrival_ms``; of a live stream it is its first batch."""
+
+    def apply(df: DataFrame, slots: int) -> DataFrame:
         if df.isStreaming:
             from ..streaming.stateful import time_windows
 
-            return time_windows(df, duration_ms)
-        return _windowed(windows.time_window(with_times(df), duration_ms, start_ms))
+            return _windowed(time_windows(df, duration_ms, start_ms if "arrival_ms" in df.columns else None), slots)
+        return _windowed(windows.time_window(with_times(df), duration_ms, start_ms), slots)
 
     return Stage("window", apply, "any", "batch")
 
 
 def window_sliding(size_ms: int, slide_ms: int, start_ms: int = 0) -> Stage:
-    def apply(df: DataFrame, _: int) -> DataFrame:
+    def apply(df: DataFrame, slots: int) -> DataFrame:
         if df.isStreaming:
             from ..streaming.stateful import sliding_windows
 
-            return sliding_windows(df, size_ms, slide_ms)
-        return _windowed(windows.sliding_window(with_times(df), size_ms, slide_ms, start_ms))
+            return _windowed(sliding_windows(df, size_ms, slide_ms, start_ms if "arrival_ms" in df.columns else None), slots)
+        return _windowed(windows.sliding_window(with_times(df), size_ms, slide_ms, start_ms), slots)
 
     return Stage("window", apply, "any", "batch")
 

@@ -16,9 +16,10 @@ from .functions import text as text_functions
 from .message import envelope, millis
 from .operators import embed, filters, folds, lanes, maps, windows
 from .plans import callables
-from .plans.pipeline import Pipeline, embedder, map_column, merger, splitter, window_count
-from .sources import firehose, microblog
-from .streaming.sinks import frequent_words
+from .plans.pipeline import Collected, Pipeline, collect_into, embedder, filter_pattern, map_column, merger, reduce_each, reduce_running, splitter, window_count
+from .session import shared_path
+from .sources import files, firehose, fixtures, microblog
+from .streaming.sinks import collector, frequent_words, printer
 
 DAY_MS = 86_400_000
 START_MS = 1_704_067_200_000  # 2024-01-01, where the events begin
@@ -227,10 +228,10 @@ def window_sliding_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("win", F.size("payload").cast("bigint").alias("n"), F.aggregate("payload", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("ids"))
 
 
-@query(f"SELECT epoch_ms(time_bucket(INTERVAL 1 DAY, ts)) AS start_ms, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1 HAVING {DAY_MS} > 0")
+@query("SELECT epoch_ms(time_bucket(INTERVAL 1 DAY, ts)) AS start_ms, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def window_time_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_id").alias("payload"))
-    return _counted(windows.event_tumbling(rows, "1 day"))
+    return _counted(windows.event_tumbling(rows, "1 day", aggregates=(F.count("*").alias("n"), F.sum("payload").alias("ids"))))
 
 
 @query(f"""
@@ -239,11 +240,11 @@ FROM (SELECT event_id, unnest([epoch_ms(ts) // {DAY_MS} * {DAY_MS}, epoch_ms(ts)
 """)
 def window_sliding_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_id").alias("payload"))
-    return _counted(windows.event_sliding(rows, "2 days", "1 day"))
+    return _counted(windows.event_sliding(rows, "2 days", "1 day", aggregates=(F.count("*").alias("n"), F.sum("payload").alias("ids"))))
 
 
 def _counted(made: DataFrame) -> DataFrame:
-    return made.select(millis(F.col("window.start")).alias("start_ms"), F.size("payload").cast("bigint").alias("n"), F.aggregate("payload", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("ids"))
+    return made.select(millis(F.col("window.start")).alias("start_ms"), "n", "ids")
 
 
 _WORDS = rf"""
@@ -260,31 +261,14 @@ def window_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_words(folds.counts_per_window(_doc_windows(spark, sf_dir)), 20)
 
 
-@query(_WORDS + """, frequent AS (
-    SELECT * FROM counts WHERE word IN (SELECT word FROM counts GROUP BY word HAVING sum(cnt) >= 100)
-), grid AS (
-    SELECT wins.win, words.word FROM (SELECT DISTINCT win FROM counts) wins, (SELECT word, min(win) AS first FROM frequent GROUP BY word) words WHERE wins.win >= words.first
-)
-SELECT g.win, g.word, CAST(sum(coalesce(f.cnt, 0)) OVER (PARTITION BY g.word ORDER BY g.win) AS BIGINT) AS cnt
-FROM grid g LEFT JOIN frequent f ON f.win = g.win AND f.word = g.word
-""")
-def window_word_count_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts that go on over windows, for words that all documents hold 100 times or more."""
-    counts = folds.counts_per_window(_doc_windows(spark, sf_dir))
-    often = counts.groupBy("word").agg(F.sum("cnt").alias("all")).filter("all >= 100").select("word")
-    last = counts.agg(F.max("win").alias("win")).select("win", F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("cnt"))
-    rows = counts.join(often, "word", "left_semi").select("win", "word", "cnt")
-    return folds.counts_so_far(rows.unionByName(last)).filter("word is not null")
-
-
 @query(_WORDS + """, grid AS (
     SELECT wins.win, words.word FROM (SELECT DISTINCT win FROM counts) wins, (SELECT word, min(win) AS first FROM counts GROUP BY word) words WHERE wins.win >= words.first
 )
 SELECT g.win, g.word, CAST(sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.word ORDER BY g.win) AS BIGINT) AS cnt
 FROM grid g LEFT JOIN counts c ON c.win = g.win AND c.word = g.word
 """)
-def window_word_count_cumulative_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts that go on over windows, for every word, as the reference's cumulative reducer keeps them."""
+def window_word_count_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that go on over windows, for every word."""
     return folds.counts_so_far(folds.counts_per_window(_doc_windows(spark, sf_dir)))
 
 
@@ -423,3 +407,122 @@ def callable_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _messages(spark, sf_dir, "events", "event_type", "event_id", event_ts="ts")
     flow = callables.Source(rows) | callables.Filter("[a-z]") | callables.Window(DAY_MS, START_MS) | callables.Reduce(0, lambda n, texts: n + len(texts), "bigint")
     return flow.pipeline.dataframe().select("seq", "payload")
+
+
+@query("SELECT doc_id, text AS payload FROM documents WHERE text IS NOT NULL")
+def filter_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter without a pattern keeps all messages."""
+    rows = _table(spark, sf_dir, "documents").filter("text is not null")
+    return filters.everything(rows.select("doc_id", F.col("text").alias("payload"))).select("doc_id", "payload")
+
+
+_LINES = "SELECT CAST(i - 1 AS BIGINT) AS place, ls[i] AS payload FROM (SELECT ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT list(line ORDER BY event_id) AS ls FROM (SELECT event_id, event_type || ' ' || event_id AS line FROM events)))"
+
+
+@query(_LINES)
+def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a text file, written from the events, in the order of the file."""
+    path = shared_path(spark, "lines")
+    lines = _table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("line"))
+    lines.coalesce(1).sortWithinPartitions("event_id").select("line").write.text(path)
+    return files.text_messages(spark, path, missing="raise").select(F.col("seq").alias("place"), "payload")
+
+
+@query("SELECT CAST(i AS INTEGER) AS payload, CAST(i AS BIGINT) AS seq FROM range(3) t(i)")
+def number_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.numbers(spark).select("payload", "seq")
+
+
+@query("SELECT CAST(i AS VARCHAR) AS payload, CAST(i AS BIGINT) AS seq FROM range(3) t(i)")
+def string_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.strings(spark).select("payload", "seq")
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a', CAST(100 AS BIGINT)), (1, 'b', 350), (2, 'c', 350)) t(seq, payload, arrival_ms)")
+def delayed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals are the sums of the delays before them."""
+    return fixtures.delayed(spark, [("a", 100), ("b", 250), ("c", 0)]).select("seq", "payload", "arrival_ms")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, count(*) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS payload FROM orders")
+def reduce_shared_by_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running count over messages of four slots: the slots share its state."""
+    source = Pipeline(_messages(spark, sf_dir, "orders", "o_orderkey", "o_orderkey"), "any")
+    return (source | splitter(4) | reduce_running("count").with_slots(4)).dataframe().select("seq", "payload")
+
+
+@query(f"""
+WITH w AS (SELECT (row_number() OVER (ORDER BY event_id) - 1) // 100 AS seq, event_type FROM events)
+SELECT seq, count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM events)) AS payload FROM w GROUP BY 1
+""")
+def reduce_each_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold that starts anew with every window of 100 messages."""
+    rows = _messages(spark, sf_dir, "events", "event_type", "event_id")
+    least = _table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
+    flow = Pipeline(rows) | window_count(100) | reduce_each(lambda n, x: n + (x == least), 0, "bigint")
+    return flow.dataframe().select("seq", "payload")
+
+
+_TYPES = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_type AS payload FROM events"
+
+
+def _given(spark: SparkSession, found: list) -> DataFrame:
+    """What a sink on the driver was given, in order; a sink of this kind is for small results."""
+    return spark.createDataFrame(list(enumerate(found)), "place bigint, payload string")
+
+
+@query(_TYPES)
+def sink_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = (Pipeline(_messages(spark, sf_dir, "events", "event_type", "event_id")) | collect_into(Collected())).run()
+    return _given(spark, found)
+
+
+@query(_TYPES.replace("event_type", "'> ' || event_type"))
+def sink_printer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines: list[str] = []
+    (Pipeline(_messages(spark, sf_dir, "events", "event_type", "event_id")) | printer("> ", lines.append)).run()
+    return _given(spark, lines)
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, CAST(event_id AS VARCHAR) AS payload FROM events WHERE event_id % 2000 <> 0")
+def sink_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback that raises for some payloads, which are passed over."""
+    found: list[str] = []
+
+    def take(text: str) -> None:
+        if int(text) % 2000 == 0:
+            raise ValueError(text)
+        found.append(text)
+
+    (Pipeline(_messages(spark, sf_dir, "events", F.col("event_id").cast("string"), "event_id")) | collector(take)).run()
+    return _given(spark, found)
+
+
+@query(_ARRIVALS + """
+SELECT w.win AS seq, count(*) AS n FROM (SELECT win, q + 1 AS lo, coalesce(lead(q) OVER (ORDER BY win), 9223372036854775807) AS hi FROM t) w JOIN e ON e.seq BETWEEN w.lo AND w.hi GROUP BY 1
+""")
+def callable_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source | window | map of Python functions: each batch of texts becomes one of capitals."""
+    rows = _messages(spark, sf_dir, "events", "event_type", "event_id", event_ts="ts")
+    flow = callables.Source(rows) | callables.Window(DAY_MS, START_MS) | callables.Map(lambda texts: [t.upper() for t in texts])
+    return flow.pipeline.dataframe().select("seq", F.size(F.filter("payload", lambda x: x == F.upper(x))).cast("bigint").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('a stage without slots', 'ValueError'), ('a splitter into one slot', 'ValueError'), ('a stage after a sink', 'TypeError'), ('a batch stage on texts', 'TypeError'), ('a stream without a sink', 'TypeError')) t(what, error)")
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pipelines refuse when they are put together or started."""
+    source = Pipeline(fixtures.strings(spark))
+    cases = {
+        "a stage without slots": lambda: filter_pattern("x").with_slots(0),
+        "a splitter into one slot": lambda: splitter(1),
+        "a stage after a sink": lambda: source | collect_into(Collected()) | filter_pattern("x"),
+        "a batch stage on texts": lambda: source | embedder(embed.stub_client()),
+        "a stream without a sink": lambda: (source | filter_pattern("x")).start(),
+    }
+    found = []
+    for what, case in cases.items():
+        try:
+            case()
+        except (TypeError, ValueError) as e:
+            found.append((what, type(e).__name__))
+    return spark.createDataFrame(found, "what string, error string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from typing import Any
 
 
@@ -121,11 +122,10 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def car_blocks(data: bytes) -> list[bytes]:
-    """The blocks' contents of a CAR archive, without their content ids."""
+def car_blocks(data: bytes) -> Iterator[bytes]:
+    """The blocks' contents of a CAR archive, without their content ids; what comes before an error is given."""
     n, at = _varint(data, 0)
     at += n
-    found = []
     while at < len(data):
         n, at = _varint(data, at)
         end = at + n
@@ -141,9 +141,8 @@ def car_blocks(data: bytes) -> list[bytes]:
             start += size
         if start > end:
             raise DecodeError("a content id longer than its block")
-        found.append(data[start:end])
+        yield data[start:end]
         at = end
-    return found
 
 
 def encode(value: Any) -> bytes:

@@ -34,6 +34,14 @@ def _millis(text: str) -> int | None:
     return int(at.timestamp()) * 1000 + int((part + "000")[:3])
 
 
+def _until_broken(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """An archive's blocks up to where it cannot be read any more: what was found before stays."""
+    try:
+        yield from blocks
+    except DecodeError:
+        return
+
+
 def frame_posts(frame: bytes) -> list[tuple[str, int]]:
     """(text, event milliseconds) of a frame's posts; a frame that cannot be read raises DecodeError."""
     reader = Reader(frame)
@@ -45,10 +53,10 @@ def frame_posts(frame: bytes) -> list[tuple[str, int]]:
     if not isinstance(first, dict) or first.get("action") != "create":
         return []
     found = []
-    for block in car_blocks(body["blocks"]):
+    for block in _until_broken(car_blocks(body["blocks"])):
         try:
             post = decode(block)
-        except DecodeError:
+        except (DecodeError, TypeError):  # a map with a key that cannot be one
             continue
         if isinstance(post, dict) and post.get("$type") == POST and isinstance(post.get("text"), str) and isinstance(post.get("createdAt"), str):
             at = _millis(post["createdAt"])
@@ -58,20 +66,21 @@ def frame_posts(frame: bytes) -> list[tuple[str, int]]:
 
 
 def posts(frames: DataFrame, column: str = "frame") -> DataFrame:
-    """(payload, event_ts) of binary frames; frames that cannot be read are skipped."""
+    """(payload, event_ts, and the frame's seq if it has one) of binary frames; frames that cannot be read are skipped."""
+    more = ["seq"] if "seq" in frames.columns else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for frame in batch[column]:
+            for frame, *rest in zip(batch[column], *[batch[c] for c in more], strict=True):
                 try:
-                    found += frame_posts(bytes(frame))
+                    found += [(*post, *rest) for post in frame_posts(bytes(frame))]
                 except (DecodeError, TypeError):
                     continue
-            yield pd.DataFrame(found, columns=["payload", "event_ms"])
+            yield pd.DataFrame(found, columns=["payload", "event_ms", *more])
 
-    made = frames.select(column).mapInPandas(run, "payload string, event_ms bigint")
-    return made.select("payload", F.timestamp_millis("event_ms").alias("event_ts"))
+    made = frames.select(column, *more).mapInPandas(run, "payload string, event_ms bigint" + ", seq bigint" * len(more))
+    return made.select("payload", F.timestamp_millis("event_ms").alias("event_ts"), *more)
 
 
 def frame(text: str, created_at: str, action: str = "create", kind: str = POST) -> bytes:

@@ -75,8 +75,9 @@ class SocketReader(SimpleDataSourceStreamReader):
             except queue.Empty:
                 break
         at = start["at"]
-        for i, row in enumerate(found):
-            self.kept[at + i] = row
+        found = [(*row, at + i) for i, row in enumerate(found)]
+        for row in found:
+            self.kept[row[-1]] = row
         return found, {"at": at + len(found)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
@@ -93,7 +94,7 @@ class SocketSource(DataSource):
         return "sluice_socket"
 
     def schema(self) -> str:
-        return "frame binary" if self.options.get("kind") == "firehose" else "value string"
+        return "frame binary, seq bigint" if self.options.get("kind") == "firehose" else "value string, seq bigint"
 
     def simpleStreamReader(self, schema) -> SocketReader:
         return SocketReader(dict(self.options))
@@ -104,13 +105,14 @@ def register(spark: SparkSession) -> None:
 
 
 def stream(spark: SparkSession, kind: str, **options: str):
-    """A stream of a live source's messages: (payload[, event_ts]), decoded on the executors."""
+    """A stream of a live source's messages in the envelope, decoded on the executors; seq counts its frames."""
+    from ..message import stream_envelope
     from . import firehose, microblog
 
     register(spark)
     raw = spark.readStream.format("sluice_socket").options(kind=kind, **options).load()
     if kind == "microblog":
-        return microblog.posts(raw)
+        return stream_envelope(microblog.posts(raw), "payload", "event_ts", kind)
     if kind == "firehose":
-        return firehose.posts(raw)
-    return raw.withColumnRenamed("value", "payload")
+        return stream_envelope(firehose.posts(raw), "payload", "event_ts", kind)
+    return stream_envelope(raw, "value", source_id=kind)

@@ -25,12 +25,13 @@ def rfc3339(text: Column) -> Column:
 
 
 def posts(frames: DataFrame, column: str = "value") -> DataFrame:
-    """(payload, event_ts) of the frames that are updates; all else is dropped, the stream goes on.
+    """(payload, event_ts, and the frame's seq if it has one) of the frames that are updates; all else is dropped, the stream goes on.
 
     The event's payload is itself JSON in a text; the post's HTML stays as it is.
     """
     outer = F.from_json(F.col(column), "event string, payload string")
-    rows = frames.select(outer.alias("o")).filter("o.event = 'update'")
+    more = ["seq"] if "seq" in frames.columns else []
+    rows = frames.select(outer.alias("o"), *more).filter("o.event = 'update'")
     inner = F.from_json(F.col("o.payload"), "content string, created_at string")
-    rows = rows.select(inner.alias("p")).select(F.col("p.content").alias("payload"), rfc3339(F.col("p.created_at")).alias("event_ts"))
+    rows = rows.select(inner.alias("p"), *more).select(F.col("p.content").alias("payload"), rfc3339(F.col("p.created_at")).alias("event_ts"), *more)
     return rows.filter("payload is not null and event_ts is not null")

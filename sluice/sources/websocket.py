@@ -9,7 +9,7 @@ import socket
 import ssl
 import struct
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 _GUID = "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"  # fixed by RFC 6455
@@ -40,9 +40,24 @@ class WebSocket:
         wanted = base64.b64encode(hashlib.sha1((key + _GUID).encode()).digest())
         if b" 101 " not in head.split(b"\r\n")[0] + b" " or wanted not in head:
             raise ConnectionError("the server refused the upgrade")
+        # A quiet stream is no error: from here on reading waits, or does something of ``idle`` in between.
+        self.idle: Callable[[], None] | None = None
+        self.socket.settimeout(None)
+
+    def keep_alive(self, seconds: float, idle: Callable[[], None]) -> None:
+        """Calls ``idle`` whenever nothing has come for so long."""
+        self.idle = idle
+        self.socket.settimeout(seconds)
 
     def _more(self) -> None:
-        data = self.socket.recv(65536)
+        while True:
+            try:
+                data = self.socket.recv(65536)
+                break
+            except TimeoutError:
+                if getattr(self, "idle", None) is None:
+                    raise
+                self.idle()
         if not data:
             raise ConnectionError("the connection has ended")
         self._rest += data
@@ -142,6 +157,9 @@ def subscribe_packet(topic: str, qos: int = 1, number: int = 1) -> bytes:
     return _packet(0x82, struct.pack(">H", number) + _text(topic) + bytes([qos]))
 
 
+PINGREQ = _packet(0xC0, b"")
+
+
 def split_packets(data: bytes) -> tuple[list[tuple[int, bytes]], bytes]:
     """(first byte, body) of the whole packets in a run of bytes, and what is left."""
     found = []
@@ -184,10 +202,14 @@ def mqtt_messages(url: str = "ws://localhost:8883", topic: str = "test", client_
             link = WebSocket(address, "mqtt", timeout=keep_alive / 2)
             link.send(BINARY, connect_packet(client_id, keep_alive))
             link.send(BINARY, subscribe_packet(topic))
+            link.keep_alive(keep_alive / 2, lambda link=link: link.send(BINARY, PINGREQ))
             rest = b""
             for _, data in link:
                 packets, rest = split_packets(rest + data)
                 for first, body in packets:
+                    refused = (first >> 4 == 2 and body[1:2] != b"\x00") or (first >> 4 == 9 and body[-1:] == b"\x80")
+                    if refused:
+                        raise ConnectionError("the broker refused the connection or the topic")
                     if first >> 4 != 3:
                         continue
                     payload, number = publication(first, body)

@@ -172,6 +172,29 @@ class RunningFold(StatefulProcessor):
         pass
 
 
+class Numbered(StatefulProcessor):
+    """Messages numbered from 0 as they come; the next number is the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", StructType([StructField("seq", LongType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = self.next.get()[0] if self.next.exists() else 0
+        for batch in rows:
+            yield batch.drop(columns="__key", errors="ignore").assign(seq=range(at, at + len(batch)))
+            at += len(batch)
+        self.next.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Messages of a stream with ``seq``, for stages that go by it. One count is one task, as for a splitter it has to be."""
+    schema = StructType([*df.schema.fields, StructField("seq", LongType())])
+    return df.withColumn("__key", F.lit(0)).groupBy("__key").transformWithStateInPandas(Numbered(), schema, "Append", "None")
+
+
 def running_fold(df: DataFrame, step: Callable[[Any, Any], Any], initial: Any, returns: str, keep_on_error: bool = False) -> DataFrame:
     """(seq, payload) of a fold over all slots: one state, as the slots of a fold share it."""
     one = _shaped(df).withColumn("slot", F.lit(0))

@@ -263,3 +263,18 @@ def test_embeddings(spark):
             embed.parse_batch_reply(bad)
     with pytest.raises(KeyError):
         embed.BatchHttpClient("http://localhost", key_variable="NO_SUCH_KEY")
+
+
+def test_functions_get_integers_beside_nulls(spark):
+    from sluice.operators import maps
+
+    rows = spark.createDataFrame([(1,), (None,), ((1 << 60) + 1,)], "payload bigint")
+    assert [r.payload for r in maps.by_callable(rows.coalesce(1), lambda v: repr(v), "string").collect()] == ["1", "None", str((1 << 60) + 1)]
+
+
+def test_order_of_a_table_with_one_hot_key(spark):
+    from sluice.message import with_seq
+
+    rows = spark.range(3000).selectExpr("if(id % 3 < 2, 7, id) as k", "id", "map('a', id) as m")
+    out = with_seq(rows, "k", "id").orderBy("seq").collect()
+    assert [(r.k, r.id) for r in out] == sorted((r.k, r.id) for r in out) and [r.seq for r in out] == list(range(3000))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.operators import folds, windows
 from sluice.plans import callables
-from sluice.plans.pipeline import Collected, Pipeline, collect_into, filter_pattern, window_count
+from sluice.operators import embed
+from sluice.plans.pipeline import Collected, Pipeline, collect_into, embedder, filter_pattern, map_column, merger, reduce_each, reduce_function, reduce_running, splitter, window_count, window_duration
 from sluice.sources import files, fixtures
 from sluice.streaming import monitor, sinks, stateful
 
@@ -92,6 +93,72 @@ def test_stream_of_counted_windows_in_a_pipeline(spark, stream, tmp_path):
     assert sum(len(x) for x in found) == len(ITEMS)
 
 
+def counted(counts, words):
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    return counts
+
+
+def streamed(flow, tmp_path, name):
+    found = Collected()
+    query = (flow | collect_into(found)).start(str(tmp_path / name))
+    assert query.awaitTermination(180)
+    return list(found)
+
+
+TEXTS = [(f"w{i % 3} w{i % 4} x", i * 170, None) for i in range(14)]
+
+
+def test_words_of_two_sources_are_counted_by_window_on_a_stream(spark, stream, tmp_path):
+    """combine | filter | words | window | counts of each window, and counts so far."""
+    df, rows = stream(TEXTS)
+    df, rows = (t.withColumn("slot", F.lit(0)) for t in (df, rows))
+    other = df.filter("false").drop("seq", "slot")
+
+    def flow(source, last):
+        words = map_column(lambda p: F.split(p, " "), "value")
+        return source | filter_pattern("w[0-2]|^$") | words | window_duration(500) | last
+
+    for name, last in (
+        ("each", lambda: reduce_each(counted, {}, "map<string,bigint>")),
+        ("far", lambda: reduce_function(lambda s, batch: [counted(s, ws) for ws in batch][-1], {}, "map<string,bigint>")),
+    ):
+        want = [r.payload for r in flow(Pipeline(rows), last()).dataframe().orderBy("seq").collect()]
+        got = streamed(flow(Pipeline(df).combine(Pipeline(other)), last()), tmp_path, name)
+        assert len(want) > 2 and sorted(map(str, (sorted(x.items()) for x in got))) == sorted(map(str, (sorted(x.items()) for x in want)))
+
+
+def test_lanes_of_embeddings_on_a_stream(spark, tmp_path):
+    """filter | split to 4 | window and embed in each lane | merge, from a source without numbers."""
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.txt").write_text("".join(f"text {k} {i}\n" for i in range(8)))
+    source = files.text_stream(spark, str(folder), 1)
+    flow = Pipeline(source) | filter_pattern("text") | splitter(4) | window_count(3).with_slots(4) | embedder(embed.stub_client()).with_slots(4) | merger()
+    found = streamed(flow, tmp_path, "lanes")
+    # 24 messages in 4 lanes of 6, two windows of 3 in each.
+    assert len(found) == 8 and all(len(batch) == 3 for batch in found)
+
+
+def test_folds_on_a_stream(spark, stream, tmp_path):
+    df, rows = stream(ITEMS)
+    number = map_column(lambda p: F.length(p) * F.col("seq"), "value")
+    for operation in ("sum", "count", "min", "max"):
+        want = [r.payload for r in (Pipeline(rows) | number | reduce_running(operation)).dataframe().orderBy("seq").collect()]
+        assert streamed(Pipeline(df) | number | reduce_running(operation), tmp_path, operation) == want
+
+
+def test_the_callable_classes_on_a_stream(spark, stream, tmp_path):
+    df, rows = stream(ITEMS)
+    results = []
+    for source in (df.withColumn("slot", F.lit(0)), rows.withColumn("slot", F.lit(0))):
+        seen = []
+        (callables.Source(source) | callables.Filter("m|^$") | callables.Window(500) | callables.Reduce(0, lambda n, ts: n + len(ts), "bigint") | callables.Collector(seen.append)).run()
+        results.append(seen)
+    assert results[0] == results[1] and results[1][-1] == len(ITEMS)
+
+
 def test_sinks(spark, tmp_path):
     lines = []
     (Pipeline(fixtures.strings(spark)) | sinks.printer("> ", lines.append)).run()

@@ -9,7 +9,7 @@ from sluice import queries
 def test_cumulative_counts_hold_every_word(spark, tmp_path):
     texts = [f"often once{i} " + ("rare " if i == 3 else "") + "often" for i in range(120)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = queries.QUERIES["window_word_count_cumulative_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["window_word_count_cumulative"](spark, str(tmp_path)).collect()
     so_far, want = Counter(), {}
     for win in range(3):
         so_far.update(w for t in texts[50 * win : 50 * win + 50] for w in re.split(r"\s+", t) if w)
