@@ -5,15 +5,16 @@ each group as one larger shard, until no size class holds ``fan_in`` shards. A m
 reads its files one after the other, with no shuffle, so the work is a copy of the bytes whatever the
 keys are. Shards are never changed. What the store holds is what its newest manifest lists: a
 manifest is written beside its place and renamed there without overwriting, so a reader sees a whole
-version, and of two writers one has to start again from the other's version. Files that the newest
-version no longer lists are deleted by ``vacuum``; a failed job leaves only files that no manifest
-lists, which go then too.
+version, and of two writers one commits on top of the other's version. Older versions stay readable
+until ``vacuum`` is told to forget them; it then deletes files that no kept version lists, if they are
+older than an age within which every writer has committed what it wrote. A failed job leaves only
+files that no manifest lists, which go then too.
 
 The driver holds the manifest, one entry a shard. Merges of a round run side by side from
 ``JOBS`` threads, each a job of its own that Spark retries by itself if an executor is lost.
 
-Defined results: an arrival without rows adds no shard but a version; repeated rows and nulls are
-kept as they are; columns are stored as they come, whatever their names.
+Defined results: an arrival without rows adds no shard but a version; repeated rows, nulls, empty and
+very long texts are kept as they are; columns are stored as they come, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import work_dir
 from .shared_fs import SharedFolder
@@ -127,8 +129,6 @@ class ShardStore:
         return self._write(rows.coalesce(1), 1 + max(s.merges for s in group))
 
     def _schema(self):
-        from pyspark.sql.types import StructType
-
         return StructType.fromJson(json.loads(self.manifest()["schema"]))
 
     def compact(self) -> int:
@@ -140,15 +140,30 @@ class ShardStore:
                 return before["version"]
             with ThreadPoolExecutor(JOBS) as pool:
                 made = [s for shards in pool.map(self._merge, work) for s in shards]
-            gone = {s.file for group in work for s in group}
-            self.commit(before, [*(s for s in before["shards"] if s.file not in gone), *made], before["schema"])
-            self.vacuum()
-
-    def vacuum(self) -> None:
-        """Deletes files that the newest version does not list. Not for use beside other writers."""
-        listed = {s.file for s in self.manifest()["shards"]}
-        for name in self.data.files():
-            if name not in listed:
+            self._replace({s.file for group in work for s in group}, made)
+
+    def _replace(self, gone: set[str], made: list[Shard]) -> None:
+        """Commits merged shards in place of others; nothing if another writer has replaced some of these."""
+        while True:
+            before = self.manifest()
+            if not gone <= {s.file for s in before["shards"]}:
+                return
+            try:
+                self.commit(before, [*(s for s in before["shards"] if s.file not in gone), *made], before["schema"])
+                return
+            except ConflictError:
+                continue
+
+    def vacuum(self, keep_versions: int = 1, least_age_s: float = 86_400.0) -> None:
+        """Forgets all but the newest versions, and deletes what none of these lists and is older than the age."""
+        newest = self.version()
+        kept = [v for v in range(max(1, newest - keep_versions + 1), newest + 1)]
+        listed = {s.file for v in kept for s in self.manifest(v)["shards"]}
+        for name in self.folder.files():
+            if name.startswith("manifest-") and int(name[9:-5]) < min(kept, default=0):
+                self.folder.delete(name)
+        for name, age in self.data.ages().items():
+            if name not in listed and age >= least_age_s:
                 self.data.delete(name)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -169,10 +184,16 @@ ARRIVALS = 4
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     """Each document's shard in the store's last version, after all arrivals and merges."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = ShardStore(spark, work_dir(spark, "shards"), target_bytes=32 << 20)
+    store = ShardStore(spark, work_dir(spark, "shards"))
+    # The table is read once and dealt to its arrivals' folders, as arrivals would lie there.
+    arrivals = SharedFolder(spark, work_dir(spark, "arrivals"))
+    path = arrivals.under("rows")
+    docs.select(F.struct("*").alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).alias("arrival")).write.option("compression", "zstd").partitionBy("arrival").parquet(path)
+    rows = StructType([StructField("row", docs.schema), StructField("arrival", LongType())])
     for k in range(ARRIVALS):
-        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.append(spark.read.schema(rows).parquet(path).filter(F.col("arrival") == k).select("row.*"))
         store.compact()
+    arrivals.delete("")
     found = store.manifest()
     # One row a shard, as the manifest has them.
     shards = spark.createDataFrame([(s.file, i, s.bytes, s.merges) for i, s in enumerate(found["shards"])], "shard_file string, shard_no bigint, shard_bytes bigint, merges int")

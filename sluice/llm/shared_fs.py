@@ -29,6 +29,11 @@ class SharedFolder:
             return {}
         return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(at) if s.isFile()}
 
+    def ages(self, name: str = "") -> dict[str, float]:
+        """Names of the files directly below and the seconds since each was changed last."""
+        at, now = self._path(self.under(name)), self._jvm.java.lang.System.currentTimeMillis()
+        return {s.getPath().getName(): (now - s.getModificationTime()) / 1000 for s in self._fs.listStatus(at) if s.isFile()}
+
     def read_text(self, name: str) -> str:
         stream = self._fs.open(self._path(self.under(name)))
         try:

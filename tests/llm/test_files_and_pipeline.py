@@ -61,6 +61,38 @@ def test_two_writers_one_version(spark):
         one.append(awkward(spark).drop("text"))
 
 
+def test_an_append_that_commits_after_anothers_compaction(spark):
+    path, docs = work_dir(spark, "store"), awkward(spark)
+    one, two = (compaction.ShardStore(spark, path, target_bytes=1 << 20, least_bytes=4_000, fan_in=2) for _ in range(2))
+    for _ in range(4):
+        two.append(docs.coalesce(1))
+    old, written = two.version(), one._write(docs, 0)  # moved, not yet committed
+    assert two.compact() > old
+    two.vacuum()  # what is younger than a day stays
+    before = one.manifest()
+    one.commit(before, [*before["shards"], *written], before["schema"])
+    want = rows_of(docs, docs.columns)
+    assert rows_of(two.read(), docs.columns) == Counter({k: 5 * v for k, v in want.items()})
+    # The version from before the compaction can be read until it is forgotten.
+    assert rows_of(two.read(old), docs.columns) == Counter({k: 4 * v for k, v in want.items()})
+    two.vacuum(keep_versions=1, least_age_s=0)
+    assert set(two.data.files()) == {s.file for s in two.manifest()["shards"]} and [n for n in two.folder.files() if n.startswith("manifest-")] == [f"manifest-{two.version():010d}.json"]
+    assert rows_of(two.read(), docs.columns) == Counter({k: 5 * v for k, v in want.items()})
+
+
+def test_merges_that_another_writer_made_first_are_left_out(spark):
+    path, docs = work_dir(spark, "store"), awkward(spark)
+    one, two = (compaction.ShardStore(spark, path, target_bytes=1 << 20, least_bytes=4_000, fan_in=2) for _ in range(2))
+    for _ in range(2):
+        one.append(docs.coalesce(1))
+    shards = one.manifest()["shards"]
+    made = one._merge(shards)
+    two.compact()
+    version = two.version()
+    one._replace({s.file for s in shards}, made)
+    assert one.version() == version and one.read().count() == 2 * docs.count()
+
+
 def test_groups_take_similar_sizes():
     store = compaction.ShardStore.__new__(compaction.ShardStore)
     store.target_bytes, store.least_bytes, store.fan_in = 1000, 10, 4
