@@ -155,13 +155,12 @@ class ShardStore:
                 continue
 
     def vacuum(self, keep_versions: int = 1, least_age_s: float = 86_400.0) -> None:
-        """Forgets all but the newest versions, and deletes what none of these lists and is older than the age."""
-        newest = self.version()
-        kept = [v for v in range(max(1, newest - keep_versions + 1), newest + 1)]
-        listed = {s.file for v in kept for s in self.manifest(v)["shards"]}
-        for name in self.folder.files():
-            if name.startswith("manifest-") and int(name[9:-5]) < min(kept, default=0):
-                self.folder.delete(name)
+        """Forgets versions older than the age but for the newest, and deletes as old files that none of the others lists."""
+        ages = {int(n[9:-5]): age for n, age in self.folder.ages().items() if n.startswith("manifest-")}
+        gone = {v for v, age in ages.items() if v <= max(ages) - keep_versions and age >= least_age_s}
+        listed = {s.file for v in ages if v not in gone for s in self.manifest(v)["shards"]}
+        for v in gone:
+            self.folder.delete(f"manifest-{v:010d}.json")
         for name, age in self.data.ages().items():
             if name not in listed and age >= least_age_s:
                 self.data.delete(name)
