@@ -50,7 +50,7 @@ def spread(hashes: np.ndarray, words: int) -> np.ndarray:
     out = np.empty((len(hashes), words), np.uint64)
     out[:, 0] = hashes
     for k in range(1, words):
-        x = hashes + np.uint64(k) * _MIX[2]
+        x = hashes + np.uint64(k * int(_MIX[2]) & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * _MIX[0]
         x = (x ^ (x >> np.uint64(27))) * _MIX[1]
         out[:, k] = x ^ (x >> np.uint64(31))
@@ -100,6 +100,8 @@ class Block(NamedTuple):
     ids: np.ndarray
     bits: np.ndarray
     keys: np.ndarray
+    #: What rows stand for, by id, where it is looked at.
+    sets: dict[int, np.ndarray] = {}  # noqa: RUF012
 
 
 def quarter_counts(bits: np.ndarray) -> np.ndarray:
@@ -152,6 +154,7 @@ class Forest:
         apart = np.flatnonzero(a != b)
         if not len(apart):
             return
+        # One pair of each two trees is enough.
         _, first = np.unique(np.minimum(a, b)[apart] * len(self.root) + np.maximum(a, b)[apart], return_index=True)
         root = self.root
         for i in apart[first].tolist():
@@ -191,11 +194,15 @@ class Blocks:
         self.base = np.concatenate([[0], np.cumsum(blocks)]).tolist()
         self.n_bins, self.reach = n_bins, reach
         of = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("bin"))
-        own = of(self.base[:-1]) + F.pmod(F.xxhash64("id"), of([max(1, b) for b in blocks])).cast("int")
-        path = work_dir(self.spark, "blocks")
-        dealt = rows.withColumn("block", own).drop("bin")
-        dealt.repartition(max(n_partitions(self.spark), min(self.base[-1], 64 * n_partitions(self.spark))), "block").write.partitionBy("block").parquet(path)
-        self.folder = SharedFolder(self.spark, path)
+        self._own = of(self.base[:-1]) + F.pmod(F.xxhash64("id"), of([max(1, b) for b in blocks])).cast("int")
+        self.folder = SharedFolder(self.spark, work_dir(self.spark, "blocks"))
+        self.write(rows, "rows")
+
+    def write(self, rows: DataFrame, name: str) -> None:
+        """Rows with id and bin, as files of the blocks that they belong to."""
+        dealt = rows.withColumn("block", self._own).drop("bin")
+        dealt = dealt.repartition(max(n_partitions(self.spark), min(self.base[-1], 64 * n_partitions(self.spark))), "block")
+        dealt.write.mode("overwrite").partitionBy("block").parquet(self.folder.under(name))
 
     def pairs(self) -> DataFrame:
         """(x, y): blocks to be compared, y not before x, each pair once."""
@@ -209,8 +216,8 @@ class Blocks:
         parts = max(n_partitions(self.spark), min(n * n // 8 + 1, 64 * n_partitions(self.spark)))
         return pairs.repartition(parts, F.xxhash64("x", "y")).sortWithinPartitions("x", "y")
 
-    def compared(self, read: Reader, compare: Comparer) -> DataFrame:
-        """(a, b): ids of the pairs of rows that ``compare`` gives for each pair of blocks."""
+    def compared(self, read: Reader, compare: Comparer, names: tuple[str, ...] = ("rows",)) -> DataFrame:
+        """(a, b): ids of the pairs of rows that ``compare`` gives for each pair of blocks, which ``read`` makes of their tables."""
         target = self.folder.path
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +226,13 @@ class Blocks:
 
             def block(k: int) -> Block:
                 if k not in held:
-                    files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/block={k}", allow_not_found=True)) if f.path.endswith(".parquet")]
-                    held[k] = read(pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in files]) if files else None)
+                    held[k] = read(*(table(f"{base}/{name}/block={k}") for name in names))
                 return held[k]
 
+            def table(path: str) -> pa.Table | None:
+                files = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+                return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in files]) if files else None
+
             for batch in batches:
                 for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     one, two = block(x), block(y)
@@ -238,7 +248,7 @@ class Blocks:
         self.folder.delete("")
 
 
-Reader = Callable[[pa.Table | None], Block]
+Reader = Callable[..., Block]
 Comparer = Callable[[Block, Block, bool], list[tuple[int, int]]]
 
 
