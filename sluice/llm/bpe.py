@@ -49,6 +49,8 @@ MARK = 0xFFFF
 #: Documents that a worker codes at once, and bytes of codes that it digests at once, whatever the
 #: size of the batches that it is given; one document is never divided.
 SLICE, DIGEST_BYTES, PART = 512, 1 << 19, 1 << 16
+#: Rows of a batch between Spark and its workers while documents are coded, and the setting's name.
+ROWS, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Entries for each key of a two-place table; under half full, places can be found for all.
 ROOM = 2.1
 
@@ -365,6 +367,9 @@ class Encoder:
         if max(ranks.values()) >= MARK:
             raise ValueError("ids have to fit in 16 bits")
         self.spark, self.pattern = spark, pattern
+        # Two workers of a task and the JVM hold a batch each, of whole texts: fewer rows than Spark's default bound that.
+        if not 0 < int(spark.conf.get(BATCH_ROWS)) <= ROWS:
+            spark.conf.set(BATCH_ROWS, str(ROWS))
         get = ranks.get
         splits = (((get(t[:i]), get(t[i:])), r) for t, r in ranks.items() for i in range(1, len(t)))
         self.pairs = PairTable({pair: r for pair, r in splits if None not in pair})

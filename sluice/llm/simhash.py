@@ -41,7 +41,7 @@ TILE = 256
 #: Rows of a block: a 32nd of all, within these bounds; a pair of blocks is one task's memory.
 LEAST_BLOCK, MOST_BLOCK = 4096, 262_144
 #: Shingles whose bits are counted at once, and compared pairs held at once.
-CHUNK, PAIRS = 65_536, 1 << 21
+CHUNK, PAIRS = 65_536, 1 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
