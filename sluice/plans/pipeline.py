@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -254,5 +254,35 @@ class Collected(list):
         return self
 
 
-def collect_into(found: Collected) -> Stage:
+class Kept:
+    """What a sink was given, kept by the executors in a shared folder: the driver holds none of it, however much it is.
+
+    A batch of a stream comes after those before it; within a batch the order is that of slot and seq.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path, self._batches, self._lock = path, 0, threading.Lock()
+
+    def take(self, df: DataFrame, call: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Kept:
+        """Keeps the payloads, or what ``call`` makes of the ordered rows; it may leave rows out, but not move them."""
+        with self._lock:
+            batch, self._batches = self._batches, self._batches + 1
+        order = [c for c in ("slot", "seq", "win") if c in df.columns]
+        rows = call((df.orderBy(*order) if order else df).select("payload"))
+        # Ids are the part of the order and the place in it, so parts need not know of each other.
+        rows.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"), "payload").write.mode("append").parquet(self.path)
+        return self
+
+    def dataframe(self, spark: SparkSession) -> DataFrame:
+        """(place, payload): what is kept, with its place from 0."""
+        rows = spark.read.parquet(self.path).withColumn("part", F.shiftright("at", 33))
+        sizes = rows.groupBy("batch", "part").agg(F.count(F.lit(1)).alias("size"))
+        before = Window.orderBy("batch", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+        starts = sizes.select("batch", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+        place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+        return rows.join(F.broadcast(starts), ["batch", "part"]).select(place.alias("place"), "payload")
+
+
+def collect_into(found: Collected | Kept) -> Stage:
+    """``Collected`` is a list on the driver, for small results; ``Kept`` is for any."""
     return Stage("collect", lambda df, _: found.take(df), gives="none", sink=True)

@@ -16,7 +16,7 @@ from .functions import text as text_functions
 from .message import envelope, millis
 from .operators import embed, filters, folds, lanes, maps, windows
 from .plans import callables
-from .plans.pipeline import Collected, Pipeline, collect_into, embedder, filter_pattern, map_column, merger, reduce_each, reduce_running, splitter, window_count
+from .plans.pipeline import Collected, Kept, Pipeline, collect_into, embedder, filter_pattern, map_column, merger, reduce_each, reduce_running, splitter, window_count
 from .session import shared_path
 from .sources import files, firehose, fixtures, microblog
 from .streaming.sinks import collector, frequent_words, printer
@@ -473,8 +473,8 @@ def _given(spark: SparkSession, found: list) -> DataFrame:
 
 @query(_TYPES)
 def sink_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = (Pipeline(_messages(spark, sf_dir, "events", "event_type", "event_id")) | collect_into(Collected())).run()
-    return _given(spark, found)
+    found = Kept(shared_path(spark, "collected"))
+    return (Pipeline(_messages(spark, sf_dir, "events", "event_type", "event_id")) | collect_into(found)).run().dataframe(spark)
 
 
 @query(_TYPES.replace("event_type", "'> ' || event_type"))

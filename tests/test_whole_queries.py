@@ -3,7 +3,41 @@
 import re
 from collections import Counter
 
-from sluice import queries
+import pytest
+from pyspark.sql import functions as F
+
+from sluice import message, queries
+from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
+from sluice.sources import fixtures
+
+
+def events(spark, path, n):
+    """``n`` events in ten files that are out of order."""
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.concat(F.lit("type"), F.col("id") % 3).alias("event_type"))
+    rows.repartition(10, F.col("event_id") % 7).write.parquet(f"{path}/events.parquet")
+
+
+@pytest.fixture
+def driver_rows(spark, monkeypatch):
+    """How many rows each call has brought to the driver."""
+    counts, kind = [], type(spark.range(0))
+    collect, local = kind.collect, kind.toLocalIterator
+
+    def collected(df):
+        found = collect(df)
+        counts.append(len(found))
+        return found
+
+    def iterated(df, *args):
+        counts.append(0)
+        for row in local(df, *args):
+            counts[-1] += 1
+            yield row
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toLocalIterator", iterated)
+    monkeypatch.setattr(message, "BOUND_SAMPLE", 100)
+    return counts
 
 
 def test_cumulative_counts_hold_every_word(spark, tmp_path):
@@ -15,3 +49,17 @@ def test_cumulative_counts_hold_every_word(spark, tmp_path):
         so_far.update(w for t in texts[50 * win : 50 * win + 50] for w in re.split(r"\s+", t) if w)
         want |= {(win, w): n for w, n in so_far.items()}
     assert {(r.win, r.word): r.cnt for r in got} == want and len(got) == len(want)
+
+
+def test_collected_without_the_driver(spark, tmp_path, driver_rows):
+    events(spark, tmp_path, 3000)
+    made = queries.QUERIES["sink_collected"](spark, str(tmp_path))
+    assert max(driver_rows) <= 200
+    assert sorted(tuple(r) for r in made.collect()) == [(i, f"type{i % 3}") for i in range(3000)]
+
+
+def test_kept_batches_and_slots_in_order(spark, tmp_path):
+    found = Kept(f"{tmp_path}/kept")
+    for n in (3, 2):
+        (Pipeline(fixtures.strings(spark, n)) | splitter(2) | collect_into(found)).run()
+    assert sorted(tuple(r) for r in found.dataframe(spark).collect()) == [(0, "0"), (1, "2"), (2, "1"), (3, "0"), (4, "1")]
