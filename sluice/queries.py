@@ -487,15 +487,14 @@ def sink_printer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, CAST(event_id AS VARCHAR) AS payload FROM events WHERE event_id % 2000 <> 0")
 def sink_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A callback that raises for some payloads, which are passed over."""
-    found: list[str] = []
+    found = Kept(shared_path(spark, "called"))
 
-    def take(text: str) -> None:
+    def take(text: str) -> str:
         if int(text) % 2000 == 0:
             raise ValueError(text)
-        found.append(text)
+        return text
 
-    (Pipeline(_messages(spark, sf_dir, "events", F.col("event_id").cast("string"), "event_id")) | collector(take)).run()
-    return _given(spark, found)
+    return (Pipeline(_messages(spark, sf_dir, "events", F.col("event_id").cast("string"), "event_id")) | collector(take, found)).run().dataframe(spark)
 
 
 @query(_ARRIVALS + """

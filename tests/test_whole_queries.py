@@ -63,3 +63,11 @@ def test_kept_batches_and_slots_in_order(spark, tmp_path):
     for n in (3, 2):
         (Pipeline(fixtures.strings(spark, n)) | splitter(2) | collect_into(found)).run()
     assert sorted(tuple(r) for r in found.dataframe(spark).collect()) == [(0, "0"), (1, "2"), (2, "1"), (3, "0"), (4, "1")]
+
+
+def test_called_back_without_the_driver(spark, tmp_path, driver_rows):
+    events(spark, tmp_path, 5000)
+    made = queries.QUERIES["sink_callback"](spark, str(tmp_path))
+    assert max(driver_rows) <= 200
+    want = [str(i) for i in range(5000) if i % 2000]
+    assert sorted(tuple(r) for r in made.collect()) == list(enumerate(want))
