@@ -466,11 +466,6 @@ def reduce_each_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TYPES = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_type AS payload FROM events"
 
 
-def _given(spark: SparkSession, found: list) -> DataFrame:
-    """What a sink on the driver was given, in order; a sink of this kind is for small results."""
-    return spark.createDataFrame(list(enumerate(found)), "place bigint, payload string")
-
-
 @query(_TYPES)
 def sink_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Kept(shared_path(spark, "collected"))
@@ -479,9 +474,8 @@ def sink_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TYPES.replace("event_type", "'> ' || event_type"))
 def sink_printer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines: list[str] = []
-    (Pipeline(_messages(spark, sf_dir, "events", "event_type", "event_id")) | printer("> ", lines.append)).run()
-    return _given(spark, lines)
+    lines = Kept(shared_path(spark, "printed"))
+    return (Pipeline(_messages(spark, sf_dir, "events", "event_type", "event_id")) | printer("> ", lines)).run().dataframe(spark)
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, CAST(event_id AS VARCHAR) AS payload FROM events WHERE event_id % 2000 <> 0")

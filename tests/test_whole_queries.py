@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice import message, queries
 from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
 from sluice.sources import fixtures
+from sluice.streaming import sinks
 
 
 def events(spark, path, n):
@@ -71,3 +72,18 @@ def test_called_back_without_the_driver(spark, tmp_path, driver_rows):
     assert max(driver_rows) <= 200
     want = [str(i) for i in range(5000) if i % 2000]
     assert sorted(tuple(r) for r in made.collect()) == list(enumerate(want))
+
+
+def test_printed_without_the_driver(spark, tmp_path, driver_rows):
+    events(spark, tmp_path, 3000)
+    made = queries.QUERIES["sink_printer"](spark, str(tmp_path))
+    assert max(driver_rows) <= 200
+    assert sorted(tuple(r) for r in made.collect()) == [(i, f"> type{i % 3}") for i in range(3000)]
+
+
+def test_nothing_is_printed_as_by_python(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a"), (1, None)], "seq bigint, payload string")
+    lines, kept = [], Kept(f"{tmp_path}/kept")
+    (Pipeline(rows) | sinks.printer("> ", lines.append)).run()
+    (Pipeline(rows) | sinks.printer("> ", kept)).run()
+    assert [r.payload for r in kept.dataframe(spark).orderBy("place").collect()] == lines
