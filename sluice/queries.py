@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -370,15 +369,12 @@ def microblog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def firehose_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary frames with other actions, other types, bad times and cut frames between the posts."""
 
-    @F.pandas_udf("binary")
-    def framed(number: pd.Series, text: pd.Series, at: pd.Series) -> pd.Series:
-        def one(n: int, t: str, a: str) -> bytes:
-            kind = firehose.POST if n % 11 else "app.bsky.feed.like"
-            made = firehose.frame(t, a if n % 7 else "yesterday", "create" if n % 3 else "delete", kind)
-            return made if n % 13 else made[:-5]
-
-        return pd.Series([one(*x) for x in zip(number, text, at, strict=True)])
+    def framed(n: int, t: str, a: str) -> bytes:
+        kind = firehose.POST if n % 11 else "app.bsky.feed.like"
+        made = firehose.frame(t, a if n % 7 else "yesterday", "create" if n % 3 else "delete", kind)
+        return made if n % 13 else made[:-5]
 
+    framed = F.udf(framed, "binary", useArrow=False)
     frames = _table(spark, sf_dir, "documents").select(framed("doc_id", "text", _created_at()).alias("frame"))
     return firehose.posts(frames).select("payload", millis("event_ts").alias("event_ms"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice import message, queries
 from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
-from sluice.sources import fixtures
+from sluice.sources import firehose, fixtures
 from sluice.streaming import sinks
 
 
@@ -87,3 +87,18 @@ def test_nothing_is_printed_as_by_python(spark, tmp_path):
     (Pipeline(rows) | sinks.printer("> ", lines.append)).run()
     (Pipeline(rows) | sinks.printer("> ", kept)).run()
     assert [r.payload for r in kept.dataframe(spark).orderBy("place").collect()] == lines
+
+
+def python_steps(df):
+    """The kinds of steps of a plan that run Python: BatchEvalPython gets rows by the hundred, others by the ten thousand."""
+    return set(re.findall(r"\b\w*(?:Python|Pandas|Arrow)\w*\b(?= )", df._jdf.queryExecution().executedPlan().toString())) - {"InPandas"}
+
+
+def test_frames_go_to_python_by_the_hundred(spark, tmp_path):
+    rows = [(i, f"text {i} é") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.QUERIES["firehose_parse"](spark, str(tmp_path))
+    assert python_steps(made) == {"BatchEvalPython"}
+    assert sorted(r.payload for r in made.collect()) == sorted(t for i, t in rows if i % 3 and i % 7 and i % 11 and i % 13)
+    mixed = spark.createDataFrame([(None,), (bytearray(b"\x01"),)], "frame binary")
+    assert firehose.posts(mixed).collect() == []
