@@ -7,12 +7,18 @@ parallel lane. Filters, maps and lane operators keep the metadata, windows and f
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 META = ("event_ts", "ingest_ts", "source_id", "seq", "slot")
 #: Rows whose keys are looked at to balance the parts of a sort. Any bounds give the same order.
 BOUND_SAMPLE = 20_000
+#: Bytes of rows that a task sorts, about, and how many tasks there are at most; a table for few tasks is left to Spark.
+PART_BYTES, MOST_TASKS, FEW_TASKS = 16 << 20, 4096, 8
 
 
 def _holds_map(kind) -> bool:
@@ -20,12 +26,38 @@ def _holds_map(kind) -> bool:
     return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
-def _bounds(df: DataFrame, key: str, parts: int) -> list:
-    """Cuts of the key's range into about equal parts, from a sample of bounded size taken by hash."""
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    sizes = []
+    for field in df.schema.fields:
+        kind, column = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind.startswith(("array", "map", "struct")) and "variant" not in kind:
+            column, kind = F.to_json(column), "string"
+        sizes.append(F.coalesce(F.octet_length(column), F.lit(0)) + 8 if kind in ("string", "binary") else F.lit(8))
+    return reduce(lambda a, b: a + b, sizes)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """How a table is dealt by ranges of a key: the bounds between them, and in how many tasks (0: as Spark would)."""
+
+    bounds: list
+    tasks: int
+
+
+def ranges(df: DataFrame, key: str) -> Ranges:
+    """Cuts of the key's range into about equal parts, from a sample of bounded size taken by hash; more of them for more bytes."""
     # The hash is of the whole row: by the key alone, a frequent key would come as one block and fill the sample.
-    rows = df.select(F.col(key).alias("k"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not _holds_map(df.schema[c].dataType)]).alias("h")).filter("k is not null")
-    keys = sorted(r["k"] for r in rows.orderBy("h").limit(BOUND_SAMPLE).select("k").collect())
-    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not _holds_map(df.schema[c].dataType)])
+    rows = df.select(F.col(key).alias("k"), hashed.alias("h"), _bytes(df).alias("b")).filter("k is not null")
+    found = rows.orderBy("h").limit(BOUND_SAMPLE).select("k", "b").collect()
+    if not found:
+        return Ranges([], 0)
+    keys = sorted(r["k"] for r in found)
+    n = len(keys) if len(keys) < BOUND_SAMPLE else df.count()
+    tasks = min(math.ceil(n * sum(r["b"] for r in found) / len(found) / PART_BYTES), MOST_TASKS)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    return Ranges(sorted({keys[len(keys) * i // parts] for i in range(1, parts)}), tasks if tasks > FEW_TASKS else 0)
 
 
 def _part(key: str, bounds: list, kind) -> Column:
@@ -36,15 +68,16 @@ def _part(key: str, bounds: list, kind) -> Column:
     return F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.get(padded, at + p - 1) <= F.col(key), at + p).otherwise(at))
 
 
-def with_seq(df: DataFrame, *order_by: str, name: str = "seq") -> DataFrame:
+def with_seq(df: DataFrame, *order_by: str, name: str = "seq", dealt: Ranges | None = None) -> DataFrame:
     """``df`` with its place, from 0, in the order of the given columns (ascending, nulls first).
 
     Rows are dealt by ranges of the first column, numbered within their range, and moved up by the
-    count of the ranges before; no task sees all rows. Order is total only if the columns are.
+    count of the ranges before; no task sees all rows, and their number grows with the table. Order is
+    total only if the columns are.
     """
     first = order_by[0]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("__part", _part(first, _bounds(df, first, parts), df.schema[first].dataType))
+    dealt = dealt or ranges(df, first)
+    rows = df.withColumn("__part", _part(first, dealt.bounds, df.schema[first].dataType))
     sizes = {r[0]: r[1] for r in rows.groupBy("__part").count().collect()}  # one a range
     starts, total = {}, 0
     for part in sorted(sizes):
@@ -52,6 +85,8 @@ def with_seq(df: DataFrame, *order_by: str, name: str = "seq") -> DataFrame:
         total += sizes[part]
     if not sizes:
         return df.withColumn(name, F.lit(0).cast("bigint"))
+    if dealt.tasks:
+        rows = rows.repartition(dealt.tasks, "__part")
     offsets = F.get(F.array(*[F.lit(starts.get(p, 0)).cast("bigint") for p in range(max(sizes) + 1)]), F.col("__part"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order_by))
     return rows.withColumn(name, (place - 1 + offsets).cast("bigint")).drop("__part")
@@ -64,11 +99,12 @@ def envelope(
     event_ts: Column | str | None = None,
     ingest_ts: Column | str | None = None,
     source_id: str | None = None,
+    dealt: Ranges | None = None,
 ) -> DataFrame:
     """A bounded table as messages; times that are not given are the query's time."""
     column = lambda c, other: other if c is None else F.col(c) if isinstance(c, str) else c
     ingest = column(ingest_ts, F.current_timestamp())
-    ordered = with_seq(df, *order_by)
+    ordered = with_seq(df, *order_by, dealt=dealt)
     return ordered.select(
         column(payload, None).alias("payload"),
         column(event_ts, ingest).cast("timestamp").alias("event_ts"),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import message, queries
+from sluice.operators import embed, windows
 from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
 from sluice.sources import firehose, fixtures
 from sluice.streaming import sinks
@@ -102,3 +103,24 @@ def test_frames_go_to_python_by_the_hundred(spark, tmp_path):
     assert sorted(r.payload for r in made.collect()) == sorted(t for i, t in rows if i % 3 and i % 7 and i % 11 and i % 13)
     mixed = spark.createDataFrame([(None,), (bytearray(b"\x01"),)], "frame binary")
     assert firehose.posts(mixed).collect() == []
+
+
+def test_windows_of_long_texts_are_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    texts = [f"often {'filler ' * 150}w{i % 3}" for i in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(message, "PART_BYTES", 1 << 15, raising=False)
+    made = queries.QUERIES["window_word_count"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 600 * 1000 >> 15
+    want = {(win, word): n for win in range(12) for word, n in Counter(w for t in texts[50 * win : 50 * win + 50] for w in t.split()).items() if n > 20}
+    assert {(r.win, r.word): r.cnt for r in made.collect()} == want
+
+
+def test_order_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(message, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(message, "BOUND_SAMPLE", 50)
+    rows = spark.range(500).selectExpr("if(id % 5 = 0, null, id * 7 % 500) as k", "id", "array(id, id) as a", "map('x', named_struct('y', id)) as m", "cast(cast(id as string) as binary) as b")
+    out = message.with_seq(rows, "k", "id").orderBy("seq").collect()
+    nulls_first = lambda r: (r.k is not None, r.k or 0, r.id)
+    assert [r.id for r in out] == [r.id for r in sorted(out, key=nulls_first)] and [r.seq for r in out] == list(range(500))
+    assert message.ranges(rows, "k").tasks > message.FEW_TASKS
+    assert message.ranges(rows.filter("k is null"), "k") == message.Ranges([], 0)
