@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import message, queries
-from sluice.operators import embed, windows
+from sluice.operators import windows
 from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
 from sluice.sources import firehose, fixtures
 from sluice.streaming import sinks
@@ -124,3 +124,15 @@ def test_order_dealt_by_bytes(spark, monkeypatch):
     assert [r.id for r in out] == [r.id for r in sorted(out, key=nulls_first)] and [r.seq for r in out] == list(range(500))
     assert message.ranges(rows, "k").tasks > message.FEW_TASKS
     assert message.ranges(rows.filter("k is null"), "k") == message.Ranges([], 0)
+
+
+def test_one_slot_is_numbered_by_many_tasks(spark):
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(off, "false")
+    try:
+        rows = windows.with_count_window(fixtures.strings(spark, 40_000), 10)
+        by_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset(off)
+    assert sum(by_task) == 40_000 and max(by_task) < 20_000
+    assert rows.filter("win <> cast(payload as bigint) div 10").count() == 0
