@@ -11,9 +11,8 @@ import json
 import logging
 import os
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,42 +78,45 @@ class SingleHttpClient:
         return [parse_flat_reply(_post(self.url, {"inputs": t, "options": {"wait_for_model": True}}, headers, self.timeout)) for t in texts]
 
 
-def _called(series: pd.Series, call: Callable) -> pd.Series:
-    """The results of a series' calls, None for those that failed, which are logged as one line."""
-    failed: list[str] = []
+def _called(call: Callable) -> Callable:
+    """The call's result, or None where it fails; a worker logs the first failure of each kind."""
+    seen: set[str] = set()
 
     def one(value):
         try:
             return call(value)
         except Exception as e:
-            failed.append(type(e).__name__)
+            kind = type(e).__name__
+            if kind not in seen:
+                seen.add(kind)
+                logging.getLogger(__name__).warning("an embedding call failed with %s; more of them are not logged", kind)
             return None
 
-    found = series.map(one)
-    if failed:
-        logging.getLogger(__name__).warning("%d of %d embedding calls failed, the first with %s", len(failed), len(series), failed[0])
-    return found
+    return one
 
 
+def _vector(values: Iterable | None) -> list[float | None] | None:
+    """As Spark takes floats, which drops integers."""
+    return None if values is None else [None if v is None else float(v) for v in values]
+
+
+# Rows go to Python by the hundred: Arrow's ten thousand, or 64 MB of them, are held several times over by each worker.
 def embed_batches(df: DataFrame, client: Client) -> DataFrame:
     """Arrays of texts become arrays of vectors, one call a message; a failed call drops its message."""
+    call = _called(lambda batch: client(list(batch)))
 
-    @F.pandas_udf("array<array<float>>")
-    def made(batches: pd.Series) -> pd.Series:
-        return _called(batches, lambda batch: client(list(batch)))
+    def made(batch: list[str]) -> list[list[float]] | None:
+        found = call(batch)
+        return None if found is None else [_vector(v) for v in found]
 
-    return df.withColumn("payload", made(F.col("payload"))).filter(F.col("payload").isNotNull())
+    return df.withColumn("payload", F.udf(made, "array<array<float>>", useArrow=False).asNondeterministic()("payload")).filter(F.col("payload").isNotNull())
 
 
 def embed_texts(df: DataFrame, client: Client) -> DataFrame:
     """Texts become vectors, one call a text; a failed call drops its message."""
-
-    @F.pandas_udf("array<float>")
-    def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield _called(series, lambda text: client([text])[0])
-
-    return df.withColumn("payload", made(F.col("payload"))).filter(F.col("payload").isNotNull())
+    call = _called(lambda text: client([text])[0])
+    made = F.udf(lambda text: _vector(call(text)), "array<float>", useArrow=False).asNondeterministic()  # one call, filter or not
+    return df.withColumn("payload", made("payload")).filter(F.col("payload").isNotNull())
 
 
 def preview(df: DataFrame, first: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import message, queries
-from sluice.operators import windows
+from sluice.operators import embed, windows
 from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
 from sluice.sources import firehose, fixtures
 from sluice.streaming import sinks
@@ -136,3 +136,16 @@ def test_one_slot_is_numbered_by_many_tasks(spark):
         spark.conf.unset(off)
     assert sum(by_task) == 40_000 and max(by_task) < 20_000
     assert rows.filter("win <> cast(payload as bigint) div 10").count() == 0
+
+
+def test_batches_to_embed_go_to_python_by_the_hundred(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def client(texts):
+        calls.add(1)
+        return [[int(t), None] for t in texts]
+
+    made = embed.embed_batches(windows.count_window(fixtures.strings(spark), 2), client)
+    assert python_steps(made) == {"BatchEvalPython"}
+    assert sorted(r.payload for r in made.collect()) == [[[0.0, None], [1.0, None]], [[2.0, None]]]
+    assert calls.value == 2
