@@ -3,11 +3,12 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sluice import message, queries
-from sluice.operators import embed, windows
+from sluice.operators import embed, folds, windows
 from sluice.plans.pipeline import Kept, Pipeline, collect_into, splitter
 from sluice.sources import firehose, fixtures
 from sluice.streaming import sinks
@@ -53,6 +54,40 @@ def test_cumulative_counts_hold_every_word(spark, tmp_path):
     assert {(r.win, r.word): r.cnt for r in got} == want and len(got) == len(want)
 
 
+def test_cumulative_counts_leave_out_windows_without_words(spark, tmp_path, monkeypatch):
+    texts = [f"a w{i % 40}" if i // 50 in (1, 3, 9) else (None, "", " \n")[i % 3] for i in range(620)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet') FROM ({queries.ORACLES['window_word_count_cumulative']})").fetchall()
+    assert {row[0] for row in want} == {1, 3, 9}
+    for block in (1, 8, folds.BLOCK):
+        monkeypatch.setattr(folds, "BLOCK", block)
+        got = queries.QUERIES["window_word_count_cumulative"](spark, str(tmp_path)).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_cumulative_counts_move_texts_once(spark, tmp_path, monkeypatch):
+    texts = [f"often {'filler ' * 150}w{i % 3}" for i in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(message, "PART_BYTES", 1 << 15)
+    made = queries.QUERIES["window_word_count_cumulative"](spark, str(tmp_path))
+    want = [(win, word, n * (win + 1)) for win in range(12) for word, n in (("often", 50), ("filler", 7500))]
+    assert [r for r in sorted((r.win, r.word, r.cnt) for r in made.collect()) if r[1][0] != "w"] == sorted(want)
+    final = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = re.findall(r"^(?!.*Reused).*Exchange \w+\((?:\w+\()?(\w+)#.*REPARTITION", final, re.M)
+    assert sorted(dealt) == ["__part", "word"]
+
+
+def test_cumulative_counts_are_written_small(spark, tmp_path, monkeypatch):
+    texts = [f"often w{i * 7919 % 1500} {i}" for i in range(1500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "DOCS_PER_WINDOW", 1)
+    queries.QUERIES["window_word_count_cumulative"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    assert rows.count() == 1500 + 1500 * 1501
+    assert rows.filter("word = 'often' and cnt <> win + 1 or word <> 'often' and cnt <> 1").count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * rows.count()
+
+
 def test_collected_without_the_driver(spark, tmp_path, driver_rows):
     events(spark, tmp_path, 3000)
     made = queries.QUERIES["sink_collected"](spark, str(tmp_path))
@@ -126,6 +161,13 @@ def test_order_dealt_by_bytes(spark, monkeypatch):
     assert message.ranges(rows.filter("k is null"), "k") == message.Ranges([], 0)
 
 
+def test_a_task_numbers_one_range(spark, monkeypatch):
+    monkeypatch.setattr(message, "PART_BYTES", 1 << 10)
+    rows = message.with_seq(spark.range(2000), "id")
+    by_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > message.FEW_TASKS and sum(by_task) == 2000 and max(by_task) < 1.2 * 2000 / len(by_task)
+
+
 def test_one_slot_is_numbered_by_many_tasks(spark):
     off = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(off, "false")
